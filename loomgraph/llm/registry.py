@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import exact_dedup, quality_rules
+from loomgraph.llm import exact_dedup, mixing, packing, quality_rules, substring_dedup, token_store, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op5_warc": warc.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_packing": packing.query,
+    "op8_substring_dedup": substring_dedup.query,
+    "op9_mixing": mixing.query,
+    "op10_token_store": token_store.query,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }
