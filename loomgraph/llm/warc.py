@@ -62,10 +62,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, headers and block of every record of a file; ValueError where a digest fails."""
-    at = 0
+    view, at = memoryview(raw), 0
     while at < len(raw):
-        member = zlib.decompressobj(31)
-        text = member.decompress(raw[at:] if at == 0 else memoryview(raw)[at:])
+        member, parts, fed = zlib.decompressobj(31), [], at
+        while not member.eof and fed < len(raw):
+            parts.append(member.decompress(view[fed : fed + 16384]))
+            fed = min(fed + 16384, len(raw))
+        text = b"".join(parts)
         if not member.eof:
             raise ValueError(f"a record is cut off at {at}")
         head, _, rest = text.partition(b"\r\n\r\n")
@@ -75,7 +78,7 @@ def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         if rest[len(block) :] != b"\r\n\r\n" or "sha256:" + hashlib.sha256(block).hexdigest() != fields["WARC-Block-Digest"]:
             raise ValueError(f"a record's block differs from its digest at {at}")
         yield at, fields, block
-        at = len(raw) - len(member.unused_data)
+        at = fed - len(member.unused_data)
 
 
 def _writer(folder: str, roll_bytes: int):
