@@ -77,7 +77,7 @@ def _pieces(path: str, capacity: int, end_id: int, block: int, grain: int):
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                for key, body in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for key, body in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     body, n = body + end, len(body) // 4 + 1
                     at = 0
                     while n - at >= capacity:
@@ -120,7 +120,7 @@ def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
 
 def packed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY,
-    end_id: int = END_ID, block: int = 512, grain: int = 128,
+    end_id: int = END_ID, block: int = 256, grain: int = 128,
 ) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)

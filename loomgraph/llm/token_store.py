@@ -107,7 +107,7 @@ def _writer(path: str, folder: str, end_id: int, n_ids: int):
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                coded = encode([t or "" for t in part.column(1).to_pylist()])
+                coded = encode(part.column(1))
                 for key, body, shard in zip(part.column(0).to_pylist(), coded, part.column(2).to_pylist(), strict=True):
                     if shard != now:
                         yield from closed()

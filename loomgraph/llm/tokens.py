@@ -1,65 +1,128 @@
-"""Token ids by the ``tokenizers`` library, with a bounded cache of pieces.
+"""Token ids by the ``tokenizers`` library, with a bounded table of pieces.
 
-A byte-level pre-tokenizer always breaks before a space that a non-space follows, and what stands before that break
-doesn't depend on what follows. So a text is cut there, each distinct piece is encoded by the library once, and the
-ids of a text are those of its pieces in a row: the same ids as for the whole text.
+A byte-level pre-tokenizer always breaks at certain places, whatever stands further off: before a space that a
+non-space follows, between letters and the punctuation after them, before white space that follows anything else,
+and after a single line break. Texts are cut there, a whole column at a time; each distinct piece is encoded by the
+library once, and the ids of a text are those of its pieces in a row: the same ids as for the whole text. Characters
+that aren't told apart by two bytes at most are never cut between, which only makes pieces longer.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from loomgraph.llm import textscan as ts
+
 DEFAULT = "byte_bpe_50k.json"
-_BREAK = re.compile(r" (?=\S)")
 _ENCODERS: dict[str, Encoder] = {}
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)  # ASCII punctuation
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_OPENS = np.zeros(256, bool)  # first byte of a character that is surely no white space
+_OPENS[0x21:0x7F] = _OPENS[0xC3:0xE0] = True
 
 
 def default_path() -> str:
     return public_tokenizers.path(DEFAULT)
 
 
+def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Places of ``data`` at which a text or a piece begins."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    space, opens = ts._SPACE[data], _OPENS[data]
+    two = np.zeros(len(data), bool)  # second byte of a two-byte character that is no white space
+    two[1:] = (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    solid = opens & (data < 0x80) | two  # such a character ends here
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = np.zeros(len(data), bool)
+    cut[:-1] = (data[:-1] == 0x20) & opens[1:]
+    cut[1:] |= letter[:-1] & _MARK[data[1:]] | solid[:-1] & space[1:]
+    cut[2:] |= solid[:-2] & (data[1:-1] == 10) & opens[2:]
+    cut[offs[:-1][offs[:-1] < offs[1:]]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """Texts to ids, as little-endian unsigned 32-bit integers."""
+    """Texts to ids."""
 
-    def __init__(self, path: str, entries: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, path: str, entries: int = 1_000_000, pool: int = 16_000_000) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
-        self.entries, self.longest = entries, longest
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.entries:
-            self.cache.clear()
-        cache = self.cache
-        split = [t.split(" ") for t in texts]
-        new = {p for s in split for p in s[1:] if p not in cache}
-        odd = {p for p in new if not p or p[0].isspace()}
-        if odd:
-            new -= odd
-            for i, s in enumerate(split):
-                if not odd.isdisjoint(s[1:]):
-                    split[i] = _BREAK.split(texts[i])
-                    new.update(p for p in split[i][1:] if p not in cache)
-        listed = list(new)
-        fresh = dict(zip(listed, self._encoded([" " + p for p in listed]), strict=True))
-        get = cache.__getitem__
-        if any(len(p) > self.longest for p in listed):
-            get = (cache | fresh).__getitem__
-            cache.update((p, b) for p, b in fresh.items() if len(p) <= self.longest)
-        else:
-            cache.update(fresh)
-        heads = self._encoded([s[0] for s in split])
-        return [h + b"".join(map(get, s[1:])) for h, s in zip(heads, split, strict=True)]
+        self.entries, self.most = entries, pool
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.first, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _joined(self, words: list[str], between: str, step: int) -> list[np.ndarray]:
+        """Ids of words that are one pre-token each; pre-token ``step * i`` is the i-th word."""
+        if not words:
+            return []
+        got = self.library.encode(between.join(words), add_special_tokens=False)
+        ids, of = np.array(got.ids, np.uint32), np.array(got.word_ids, np.int64)
+        at = np.arange(0, step * len(words), step)
+        return [ids[a:b] for a, b in zip(np.searchsorted(of, at).tolist(), np.searchsorted(of, at, "right").tolist(), strict=True)]
+
+    def _learn(self, pieces: list[str], keys: np.ndarray) -> None:
+        spaced = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+        bare = [i for i, p in enumerate(pieces) if p.isalpha()]
+        known = set(spaced) | set(bare)
+        rest = [i for i in range(len(pieces)) if i not in known]
+        found = self._joined([pieces[i] for i in spaced], "", 1) + self._joined([pieces[i] for i in bare], "\n", 2)
+        if rest:
+            found += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        size = np.array([len(x) for x in found], np.int64)
+        first = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, *found])
+        keys = np.concatenate([self.keys, keys[spaced + bare + rest]])
+        order = np.argsort(keys)
+        self.keys, self.first, self.size = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
+
+    def encode_bytes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, and the number of ids of each."""
+        if len(self.keys) > self.entries or len(self.pool) > self.most:
+            self.forget()
+        start = piece_starts(data, offs)
+        end = np.append(start[1:], len(data))
+        h = ts.span_hashes(data, start, end)
+        at = self._found(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            keys, where = np.unique(h[new], return_index=True)
+            raw = data.tobytes()
+            self._learn([raw[start[i] : end[i]].decode() for i in new[where].tolist()], keys)
+            at = self._found(h)
+        size = self.size[at]
+        total = np.cumsum(size)
+        ids = self.pool[np.repeat(self.first[at] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        bounds = np.concatenate(([0], total))[np.searchsorted(start, offs)]
+        return ids, np.diff(bounds)
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """Places in the table, -1 for what isn't in it."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow column (null: none), as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for _, _, data, offs in ts.chunks(column):
+            ids, n = self.encode_bytes(data, offs)
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
 
 def encoder(path: str) -> Encoder:
