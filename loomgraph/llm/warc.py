@@ -84,6 +84,7 @@ def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 def _writer(folder: str, roll_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"file": None, "shard": None, "roll": 0}
+        marked, taken = None, False
 
         def close() -> Iterator[pa.RecordBatch]:
             if (file := state["file"]) is not None:
@@ -97,6 +98,14 @@ def _writer(folder: str, roll_bytes: int):
             for lo in range(0, len(batch), 64):
                 rows = batch.slice(lo, 64).to_pylist()
                 for r in rows:
+                    if r["mark"]:
+                        marked, taken = r, False
+                        continue
+                    revisit, refers_to = False, None
+                    if marked is not None and (marked["id"], marked["digest"]) == (r["id"], r["digest"]):
+                        refers_to = marked["refers_to"]
+                        revisit = taken or r["id"] != refers_to
+                        taken = True
                     if r["shard"] != state["shard"]:
                         yield from close()
                         state |= {"shard": r["shard"], "roll": 0}
@@ -106,7 +115,7 @@ def _writer(folder: str, roll_bytes: int):
                     if state["file"] is None:
                         state["name"] = f"shard-{state['shard']:06d}-{state['roll']:05d}.warc.gz"
                         state |= {"file": shards.Placed(folder, state["name"]), "n": 0, "bytes": 0, "sha": hashlib.sha256()}
-                    raw = record(r["id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["revisit"])
+                    raw = record(r["id"], r["url"], r["payload"], r["digest"], refers_to, revisit)
                     state["file"].write(raw)
                     state["sha"].update(raw)
                     state["n"] += 1
@@ -132,15 +141,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows, numbered = with_revisits(pages, id_col, url_col, html_col, least)
     key = F.coalesce(F.col("id"), F.lit(int(shards.LAST))).alias("key")
     firsts = shards.cuts(rows.select(key, (F.octet_length("payload") + 400).alias("size")), "key", "size", shard_bytes)
-    repeated = numbered.groupBy(F.coalesce("id", F.lit(int(shards.LAST))).alias("k"), F.col("digest").alias("d")).agg(F.min("refers_to").alias("refers_to"))
-    joined = rows.select("*", key).join(repeated, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")), "left")
-    nth = F.row_number().over(Window.partitionBy("key", "digest").orderBy("url"))
-    if rows.groupBy("id").count().where("count > 1").isEmpty():
-        nth = F.lit(1)
-    revisit = F.col("d").isNotNull() & (~F.col("id").eqNullSafe(F.col("refers_to")) | (nth > 1))
-    marked = joined.withColumn("revisit", revisit).select("id", "url", "payload", "digest", "refers_to", "revisit", "key")
-    ranged = shards.sharded(marked, "key", firsts, "digest", "revisit", "url")
-    ranged.select("id", "url", "payload", "digest", "refers_to", "revisit", "shard").mapInArrow(_writer(f"{folder}/files", roll_bytes), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    # a mark before each page whose payload occurs elsewhere: payloads move once, to their shard
+    marks = numbered.groupBy("id", "digest").agg(F.min("refers_to").alias("refers_to"))
+    marks = marks.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(True).alias("mark"))
+    stream = marks.unionByName(rows.select("id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("mark"))).select("*", key)
+    ranged = shards.sharded(stream, "key", firsts, F.col("id").isNull(), "digest", F.col("mark").desc(), "url")
+    ranged.select("id", "url", "payload", "digest", "refers_to", "mark", "shard").mapInArrow(_writer(f"{folder}/files", roll_bytes), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     release(spark)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
