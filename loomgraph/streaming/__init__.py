@@ -1 +1 @@
-
+"""No operator here works on streams: the engine's only iteration is the supersteps of a search, which are batches."""
