@@ -2,13 +2,14 @@
 
 The model of a block starts afresh, so that any block can be decoded alone:
 
-* order 2 and order 1: a hashed table maps the last two ids, or the last one, to the id that followed, with a confidence;
+* order 2 and order 1: a hashed table maps the last two ids, or the last one, to the id that followed, with a
+  confidence that grows with each hit and halves with each miss;
 * order 0: counts of id classes (narrow for small ids, which are the frequent ones), ids of a class being equally likely.
 
-Each step mixes the three into one distribution: the order-2 prediction gets the share that such predictions of this
-confidence have earned in the block so far, the order-1 prediction the like share of the rest, order 0 what is left.
-The interval drives a 64-bit range coder with 32-bit output words and carry propagation. numpy works on one id of
-every block at a time, so the cost of Python is shared by all blocks.
+Each step mixes the three into one distribution: the order-2 prediction gets a share by its confidence, the order-1
+prediction a share of the rest by its own, order 0 what is left. The interval drives a 64-bit range coder with
+32-bit output words and carry propagation. numpy works on one id of every block at a time, so the cost of Python is
+shared by all blocks.
 """
 
 from __future__ import annotations
@@ -17,11 +18,18 @@ import numpy as np
 
 U = np.uint64
 BITS = 28  # of the distribution
-SLOTS = 2048
-REBUILD = 64
-SCALE = 4096
-_ONE, _WORD, _LEAST = U(1 << BITS), U(32), U(1 << 32)
-_GROUP = 18
+SLOT_BITS = 11
+SCALE_BITS = 11
+SCALE = 1 << SCALE_BITS
+_ONE, _WORD, _LEAST, _TOP = U(1 << BITS), U(32), U(1 << 32), U((1 << BITS) - 1)
+_CONF = 15
+#: Share of a prediction by its confidence, none at 0; below one by a margin, so that every id keeps an interval.
+_SHARE = np.array([0, *((c + 0.5) / (c + 2.0) * 0.96 for c in range(1, _CONF + 1))])
+_OF_ALL, _OF_REST = (_SHARE * (1 << BITS)).astype(U), (_SHARE * (1 << 12)).astype(U)
+_C = np.arange(_CONF + 1)
+#: Confidence after a miss and, 16 places on, after a hit; from 4 on a prediction survives a miss.
+_AFTER = np.concatenate([_C >> 1, np.minimum(_C + 1, _CONF)]).astype(np.uint32)
+_STAYS = np.concatenate([_C >= 4, _C >= 0])
 
 
 def class_starts(n_ids: int) -> np.ndarray:
@@ -31,89 +39,61 @@ def class_starts(n_ids: int) -> np.ndarray:
 
 
 class _Model:
+    """State of all lanes. Tables hold id + 1 and, in the low four bits, its confidence; 0 is empty."""
+
     def __init__(self, lanes: int, n_ids: int) -> None:
         starts = class_starts(n_ids)
-        self.n = len(starts)
-        self.pad = -(-self.n // _GROUP) * _GROUP
-        if self.n + self.pad > SCALE // 2:
+        self.n = n = len(starts)
+        if n > SCALE // 2:
             raise ValueError(f"{n_ids} ids need more than {SCALE // 2} classes")
-        self.start = starts.astype(U)
-        self.width = np.diff(np.append(starts, starts[-1] + 512)).astype(U)
-        self.lane = np.arange(lanes)
-        self.tables = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]  # id + 1 and confidence
-        self.earned = [np.tile((np.array([0, 8, 16, 24, 32, 40, 44, 48]) << 10).astype(np.int32), lanes) for _ in range(2)]
-        self.counts = np.ones((lanes, self.n), np.int32)
-        self.counts[:, : min(128, self.n)] = 3
+        self.start = starts
+        self.shift = np.log2(np.diff(np.append(starts, starts[-1] + 512))).astype(U)
+        self.lanes = lanes
+        self.two, self.one = (np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2))
+        self.counts = np.ones((lanes, n), np.int32)
+        self.counts[:, : min(128, n)] = 3
         self.flat = self.counts.reshape(-1)
-        self.first, self.second = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.at_slot, self.at_class, self.at_earned, self.at_cum = self.lane * SLOTS, self.lane * self.n, self.lane * 8, self.lane * (self.pad + 1)
+        lane = np.arange(lanes)
+        self.at_slot, self.at_class, self.at_code = lane << SLOT_BITS, lane * n, lane << SCALE_BITS
         self.step = 0
 
-    def shares(self) -> None:
-        """Intervals of this step: f2, f1 and the unit of order 0."""
-        if self.step % REBUILD == 0 and (self.step & (self.step - 1) == 0 or self.step % 512 == 0 or self.step < 512):
-            total = self.counts.sum(axis=1, keepdims=True)
-            freq = 1 + self.counts * np.int64(SCALE - self.n) // total
-            cum = np.full((len(self.lane), self.pad + 1), 1 << 30, np.int32)
-            cum[:, 0] = 0
-            np.cumsum(freq, axis=1, out=cum[:, 1 : self.n + 1])
-            cum[:, self.n + 1 :] = 1 << 30
-            self.cum = cum.reshape(-1)
-            self.coarse = np.ascontiguousarray(cum[:, : self.pad : _GROUP])
-            self.fine = np.ascontiguousarray(cum[:, : self.pad]).reshape(len(self.lane), -1, _GROUP)
-        one, two = self.first, self.second
-        self.slots = (self.at_slot + ((one * 40503 + two * 10007) >> 3) % SLOTS, self.at_slot + one % SLOTS)
-        got = self.got = [t[s] for t, s in zip(self.tables, self.slots, strict=True)]
-        conf = [(g & 7) for g in got]
-        self.states = [self.at_earned + c for c in conf]
-        self.odds = [e[s] for e, s in zip(self.earned, self.states, strict=True)]
-        self.p2, self.p1 = ((g >> 3).astype(np.int64) - 1 for g in got)
-        self.f2 = np.where(self.p2 >= 0, self.odds[0], 0).astype(U) << U(BITS - 16)
-        share = np.where((self.p1 >= 0) & (self.p1 != self.p2), self.odds[1], 0).astype(U)
-        self.f1 = ((_ONE - self.f2) >> U(16)) * share
-        self.unit = (_ONE - self.f2 - self.f1) // U(SCALE)
-
-    def interval(self, ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the ids' intervals."""
-        at = self.at_cum + classes
-        low = self.cum[at]
-        each = self.unit * (self.cum[at + 1] - low).astype(U) // self.width[classes]
-        start = self.f2 + self.f1 + self.unit * low.astype(U) + each * (ids.astype(U) - self.start[classes])
-        is2 = self.p2 == ids
-        is1 = (self.p1 == ids) & ~is2
-        start = np.where(is2, U(0), np.where(is1, self.f2, start))
-        return start, np.where(is2, self.f2, np.where(is1, self.f1, each))
-
-    def found(self, v: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Ids, classes, starts and sizes of the intervals that hold v."""
-        rest = v - np.minimum(v, self.f2 + self.f1)
-        q = (rest // self.unit).astype(np.int32)
-        np.minimum(q, SCALE - 1, out=q)
-        group = (self.coarse <= q[:, None]).sum(axis=1) - 1
-        classes = np.minimum(group * _GROUP + (self.fine[self.lane, group] <= q[:, None]).sum(axis=1) - 1, self.n - 1)
-        at = self.at_cum + classes
-        low = self.cum[at]
-        width = self.width[classes]
-        each = self.unit * (self.cum[at + 1] - low).astype(U) // width
-        begin = self.unit * low.astype(U)
-        j = np.minimum((rest - np.minimum(rest, begin)) // each, width - U(1))
-        ids = (self.start[classes] + j).astype(np.int64)
-        start, size = self.f2 + self.f1 + begin + each * j, each
-        is2 = v < self.f2
-        is1 = ~is2 & (v < self.f2 + self.f1)
-        ids = np.where(is2, self.p2, np.where(is1, self.p1, ids))
-        return ids, np.where(is2, U(0), np.where(is1, self.f2, start)), np.where(is2, self.f2, np.where(is1, self.f1, size))
-
-    def learn(self, ids: np.ndarray, classes: np.ndarray) -> None:
-        for k, p in enumerate((self.p2, self.p1)):
-            hit = p == ids
-            conf = self.got[k] & 7
-            self.earned[k][self.states[k]] = np.clip(self.odds[k] + ((np.where(hit, 65536, 0) - self.odds[k]) >> 4), 64, 49152)
-            stays = hit | (conf > 2)
-            conf = np.where(hit, np.minimum(conf + 1, 7), np.where(stays, conf >> 1, 1))
-            self.tables[k][self.slots[k]] = (np.where(stays, p, ids) + 1).astype(np.uint32) << 3 | conf.astype(np.uint32)
-        self.flat[self.at_class + classes] += 12
-        self.second, self.first = self.first, ids
+    def rebuilt(self, inverse: bool) -> None:
+        """Order-0 intervals from the counts so far, at steps 0, 64, 128, ... 512, 1024, 1536, ..."""
+        t = self.step
+        if t % 64 or t > 512 and t % 512:
+            return
+        total = self.counts.sum(axis=1, keepdims=True)
+        freq = 1 + self.counts * (SCALE - self.n) // total
+        freq[:, 0] += SCALE - freq.sum(axis=1)
+        low = np.cumsum(freq, axis=1) - freq
+        self.packed = (low << 12 | freq).astype(U).reshape(-1)
+        if inverse:
+            self.inverse = np.repeat(np.tile(np.arange(self.n, dtype=np.int16), self.lanes), freq.reshape(-1))
+
+    def slots(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = (1 << SLOT_BITS) - 1
+        return self.at_slot + ((first * 40503 + second * 10007) >> 3 & mask), self.at_slot + (first & mask)
+
+    def shares(self, s2: np.ndarray, s1: np.ndarray) -> None:
+        self.s2, self.s1 = s2, s1
+        self.g2, self.g1 = self.two.take(s2), self.one.take(s1)
+        self.c2, self.c1 = (self.g2 & np.uint32(15)).astype(np.int64), (self.g1 & np.uint32(15)).astype(np.int64)
+        self.p2, self.p1 = self.g2 >> np.uint32(4), self.g1 >> np.uint32(4)
+        self.f2 = _OF_ALL.take(self.c2)
+        rest = _ONE - self.f2
+        self.f1 = (rest >> U(12)) * _OF_REST.take(self.c1 * (self.p1 != self.p2))
+        self.unit = (rest - self.f1) >> U(SCALE_BITS)
+
+    def learn(self, named: np.ndarray, classes: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """named: id + 1, as uint32; hits: whether each prediction was right."""
+        fresh = named << np.uint32(4) | np.uint32(1)
+        for table, slot, g, c, hit in ((self.two, self.s2, self.g2, self.c2, hit2), (self.one, self.s1, self.g1, self.c1, hit1)):
+            at = c + (hit.view(np.int8) << 4)
+            new = fresh.copy()
+            np.copyto(new, (g & np.uint32(0xFFFFFFF0)) | _AFTER.take(at), where=_STAYS.take(at))
+            table[slot] = new
+        at = self.at_class + classes
+        self.flat[at] += 12
         self.step += 1
 
 
@@ -128,6 +108,7 @@ def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
     low, size = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     out = np.zeros((lanes, length + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
+    flat, row, zero = out.reshape(-1), np.arange(lanes) * out.shape[1], np.zeros(lanes, U)
     columns = np.ascontiguousarray(blocks.T).astype(np.int64)
 
     def carried(who: np.ndarray) -> None:
@@ -137,23 +118,34 @@ def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
             over = out[who, at] == 0
             who, at = who[over], at[over] - 1
 
+    first = second = np.zeros(lanes, np.int64)
     for ids in columns:
         classes = _classes(ids)
-        model.shares()
-        start, freq = model.interval(ids, classes)
+        model.rebuilt(False)
+        model.shares(*model.slots(first, second))
+        named = (ids + 1).astype(np.uint32)
+        hit2, hit1 = model.p2 == named, model.p1 == named
+        own = model.packed.take(model.at_class + classes)
+        each = model.unit * (own & U(4095)) >> model.shift.take(classes)
+        start = model.f2 + model.f1 + model.unit * (own >> U(12)) + each * (ids - model.start.take(classes)).astype(U)
+        freq = each
+        for place, share, hit in ((model.f2, model.f1, hit1), (zero, model.f2, hit2)):
+            np.copyto(start, place, where=hit)
+            np.copyto(freq, share, where=hit)
         unit = size >> U(BITS)
         new = low + unit * start
-        over = np.flatnonzero(new < low)
-        if len(over):
-            carried(over)
+        over = new < low
+        if over.any():
+            carried(np.flatnonzero(over))
         low, size = new, unit * freq
-        who = np.flatnonzero(size < _LEAST)
-        if len(who):
-            out[who, used[who]] = (low[who] >> _WORD).astype(np.uint32)
-            used[who] += 1
-            low[who] <<= _WORD
-            size[who] <<= _WORD
-        model.learn(ids, classes)
+        full = size < _LEAST
+        flat[row + used] = low >> _WORD  # stays only where the place moves on
+        used += full
+        shift = full.astype(U) << U(5)
+        low <<= shift
+        size <<= shift
+        model.learn(named, classes, hit2, hit1)
+        second, first = first, ids
     for _ in range(2):
         out[np.arange(lanes), used] = (low >> _WORD).astype(np.uint32)
         used += 1
@@ -164,24 +156,44 @@ def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
 def decoded(codes: list[bytes], length: int, n_ids: int) -> np.ndarray:
     """The blocks again."""
     lanes = len(codes)
-    words = np.zeros((lanes, max(map(len, codes)) // 4 + 2), np.uint32)
+    words = np.zeros((lanes, max(map(len, codes)) // 4 + 2), U)
     for i, code in enumerate(codes):
         words[i, : len(code) // 4] = np.frombuffer(code, "<u4")
     model = _Model(lanes, n_ids)
     value, size = words[:, 0].astype(U) << _WORD | words[:, 1], np.full(lanes, 2**64 - 1, U)
     used = np.full(lanes, 2)
+    flat, row, zero = words.reshape(-1), np.arange(lanes) * words.shape[1], np.zeros(lanes, U)
     out = np.zeros((length, lanes), np.uint32)
+    first = second = np.zeros(lanes, np.int64)
     for t in range(length):
-        model.shares()
+        model.rebuilt(True)
+        model.shares(*model.slots(first, second))
         unit = size >> U(BITS)
-        ids, start, freq = model.found(np.minimum(value // unit, _ONE - U(1)))
+        v = np.minimum(value // unit, _TOP)
+        head = model.f2 + model.f1
+        in2, known = v < model.f2, v < head
+        rest = v - np.minimum(v, head)
+        q = np.minimum(rest // model.unit, U(SCALE - 1)).astype(np.int64)
+        classes = model.inverse.take(model.at_code + q).astype(np.int64)
+        own, shift = model.packed.take(model.at_class + classes), model.shift.take(classes)
+        each = model.unit * (own & U(4095)) >> shift
+        begin = model.unit * (own >> U(12))
+        j = np.minimum((rest - begin) // each, (U(1) << shift) - U(1))
+        named = (model.start.take(classes) + j.astype(np.int64) + 1).astype(np.uint32)
+        start, freq = head + begin + each * j, each
+        for place, share, name, hit in ((model.f2, model.f1, model.p1, known), (zero, model.f2, model.p2, in2)):
+            np.copyto(start, place, where=hit)
+            np.copyto(freq, share, where=hit)
+            np.copyto(named, name, where=hit)
+        ids = named.astype(np.int64) - 1
         value = value - unit * start
         size = unit * freq
-        who = np.flatnonzero(size < _LEAST)
-        if len(who):
-            value[who] = value[who] << _WORD | words[who, used[who]]
-            used[who] += 1
-            size[who] <<= _WORD
-        model.learn(ids, _classes(ids))
+        full = size < _LEAST
+        shift = full.astype(U) << U(5)
+        value = value << shift | flat.take(row + used) * full
+        used += full
+        size <<= shift
+        model.learn(named, _classes(ids), model.p2 == named, model.p1 == named)
+        second, first = first, ids
         out[t] = ids
     return out.T
