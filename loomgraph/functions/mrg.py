@@ -76,3 +76,8 @@ def random_doubles(n: int, a: int, b: int, position: int = 0) -> np.ndarray:
     u = stream(skip(seed_from(a, b), 2, 0, 2 * position), 2 * n)
     x = np.array(u, np.float64).reshape(n, 2)
     return x[:, 0] / MODULUS + x[:, 1] / float(MODULUS) / MODULUS
+
+
+def random_floats(seed: list[int], n: int) -> np.ndarray:
+    """n uniform single-precision numbers, one draw each."""
+    return (np.array(stream(seed, n), np.float64) / MODULUS).astype(np.float32)

@@ -339,6 +339,34 @@ def plot_total_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.plot_data(graphs.results(spark, sf_dir), "total_time").withColumn("total_time_p90", F.round("total_time_p90", 9))
 
 
+@query(f"WITH {_RESULTS} SELECT graph, variant, cores, round(count(teps) / sum(1.0::DOUBLE / teps), 9) AS teps, graph AS title FROM r WHERE teps > 0 GROUP BY ALL")
+def plot_teps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.plot_data(graphs.results(spark, sf_dir), "teps").withColumn("teps", F.round("teps", 9))
+
+
+@query(f"""WITH {_RESULTS} SELECT graph, variant, cores, round(quantile_cont(total_time, 0.9), 9) AS total_time_p90, round(quantile_cont(comm_time, 0.9), 9) AS comm_time_p90,
+  graph AS title FROM r WHERE total_time > 0 GROUP BY ALL""")
+def plot_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.plot_data(graphs.results(spark, sf_dir), "times").withColumns({c: F.round(c, 9) for c in ("total_time_p90", "comm_time_p90")})
+
+
+@query(f"WITH {_RESULTS} SELECT graph, variant, cores, round(avg(max_over_mean), 9) AS max_over_mean, graph AS title FROM r WHERE max_over_mean > 0 GROUP BY ALL")
+def plot_max_over_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.plot_data(graphs.results(spark, sf_dir), "max_over_mean").withColumn("max_over_mean", F.round("max_over_mean", 9))
+
+
+@query(f"WITH {_RESULTS} SELECT graph, variant, cores, round(avg(cv), 9) AS cv, graph AS title FROM r WHERE cv >= 0 GROUP BY ALL")
+def plot_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.plot_data(graphs.results(spark, sf_dir), "cv").withColumn("cv", F.round("cv", 9))
+
+
+@query(f"""WITH {_EDGES}, both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), arcs AS (SELECT * FROM both_ways), {_DEGREE},
+t AS (SELECT v, degree, row_number() OVER (ORDER BY v) AS k FROM deg) SELECT v, degree FROM t WHERE k <= 15""")
+def debug_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The degrees of the first 15 ids, as a debug dump shows them."""
+    return etl.out_degree(_arcs(spark, sf_dir)).orderBy("v").limit(15)
+
+
 _NAMES = """n AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'basic' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'other' ELSE 'basicx' END || CAST(o_custkey % 128 AS VARCHAR) AS stem, o_orderkey FROM orders)"""
 
 

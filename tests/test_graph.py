@@ -130,7 +130,7 @@ def test_generator_goldens():
     assert mrg.stream(mrg.skip([3, 3, 5, 7, 11], 50, 7, 0), 4) == [1928565067, 1145686203, 1674985929, 320480098]
     assert glibc.rand(11, 4) == [1989311423, 1130649494, 665249397, 1078488845]
     assert len(mrg.seed_from(2**64 - 1, 5)) == 5
-    assert all(0 <= x < 1 for x in mrg.random_doubles(5, 1, 2, 3))
+    assert all(0 <= x < 1 for x in [*mrg.random_doubles(5, 1, 2, 3), *mrg.random_floats([3, 3, 5, 7, 11], 5)])
     assert list(mrg.random_doubles(3, 1, 2, 2)) == list(mrg.random_doubles(5, 1, 2, 0)[2:])
 
 
