@@ -127,7 +127,7 @@ def _prefix(value: np.ndarray, level: np.ndarray, order: int, p: int) -> np.ndar
 
 
 def _sets(size: int, seed: int, num: int, den: int, sketch, full: bool):
-    """With ``full``: class, n, set and prefixes under B and C; else id, class, check, n and the prefix under A."""
+    """With ``full``: class, set, and which of it are prefix tokens under B and C; else id, class, check, n and the prefix under A."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(sketch.value, np.uint8)
@@ -141,9 +141,9 @@ def _sets(size: int, seed: int, num: int, den: int, sketch, full: bool):
                 level = cells[_cells(value)]
                 own = [(value[e - k : e], level[e - k : e], prefix_length(int(k), num, den) if k else 0) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 if full:
-                    columns = [pa.array(marks[0]), pa.array(n), pa.array([v.tobytes() for v, _, _ in own], pa.binary())]
-                    columns += [pa.array([np.sort(_prefix(v, c, k, p)).tobytes() for v, c, p in own], pa.binary()) for k in (1, 2)]
-                    yield pa.RecordBatch.from_arrays(columns, ["cid", "n", "full", "pb", "pc"])
+                    rows = [(_short(v), *(_flags(v, _prefix(v, c, k, p)) for k in (1, 2))) for v, c, p in own]
+                    columns = [pa.array(marks[0]), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3))]
+                    yield pa.RecordBatch.from_arrays(columns, ["cid", "full", "pb", "pc"])
                 else:
                     first = [_prefix(v, c, 0, p) if p else v for v, c, p in own]
                     at = np.cumsum([0, *map(len, first)]).astype(np.int32)
@@ -154,17 +154,35 @@ def _sets(size: int, seed: int, num: int, den: int, sketch, full: bool):
     return run
 
 
+def _short(value: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted tokens: enough to compare two sets."""
+    return np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(U).ravel()
+
+
+def _flags(value: np.ndarray, some: np.ndarray) -> bytes:
+    return np.packbits(np.isin(value, some, assume_unique=True)).tobytes()
+
+
+def _flagged(value: np.ndarray, flags: bytes) -> np.ndarray:
+    return value[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(value)).astype(bool)]
+
+
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, *parts = batch.columns
             keep = np.zeros(len(batch), bool)
-            for i, row in enumerate(zip(*(c.to_pylist() for c in parts), strict=True)):
-                fa, ba, ca, fb, bb, cb = (np.frombuffer(x, U) for x in row)
-                if not (_common(ba, bb) and _common(ca, cb)):
-                    continue
-                both = _common(fa, fb)
-                keep[i] = den * both >= num * (len(fa) + len(fb) - both)
+            for i, (fa, ba, ca, fb, bb, cb) in enumerate(zip(*(c.to_pylist() for c in parts), strict=True)):
+                x, y = _long(fa), _long(fb)
+                if _common(_flagged(x, ba), _flagged(y, bb)) and _common(_flagged(x, ca), _flagged(y, cb)):
+                    both = _common(x, y)
+                    keep[i] = den * both >= num * (len(x) + len(y) - both)
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
@@ -236,17 +254,21 @@ def jaccard_join(
     del one_each, postings, pivots
     release(spark)
 
-    several = shared.select("cid").distinct().join(classes, "cid").select(F.col("least").alias("rep"))
-    texts = rows.select("id", "text").join(several.distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.mapInArrow(_sets(size, seed, num, den, sketch, True), "cid long, n long, full binary, pb binary, pc binary")
-    sets = written(sets.dropDuplicates(["cid"]), "join-sets")
-    del texts
-    release(spark)
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of all classes in ``pairs``, made again from the text of one row each."""
+        ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+        reps = ids.join(classes, "cid").select(F.col("least").alias("rep")).distinct()
+        texts = rows.select("id", "text").join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+        made = written(texts.mapInArrow(_sets(size, seed, num, den, sketch, True), "cid long, full binary, pb binary, pc binary"), "join-sets")
+        release(spark)
+        twice = made.groupBy("cid").count().where("count > 1")
+        return made if twice.isEmpty() else made.dropDuplicates(["cid"])  # ids that repeat with other texts
 
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
     stars = shared.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"), low("key").alias("n1"), F.shiftright("key", 32).alias("i1"), low("pkey").alias("n2"), F.shiftright("pkey", 32).alias("i2"))
     tried = written(_filtered(stars, num, den).select("a", "b").distinct(), "join-tried")
-    links = written(_links(tried, sets, num, den), "join-links")
+    links = written(_links(tried, sets_of(tried), num, den), "join-links")
+    release(spark)
     labels = components(links)
 
     # in each bucket, sets that are still in different components
@@ -260,7 +282,8 @@ def jaccard_join(
     known = tried.select("a", "b").union(tried.select(F.col("b"), F.col("a")))
     rest = written(rest.join(known, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
-        more = written(_links(rest, sets, num, den), "join-links")
+        more = written(_links(rest, sets_of(rest), num, den), "join-links")
+        release(spark)
         if not more.isEmpty():
             labels = components(links.union(more))
     release(spark)
