@@ -19,7 +19,6 @@ whatever their ids; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,26 +120,27 @@ def _gathered(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def marking_words(texts: list[tuple[np.ndarray, int]], least: float = 24.0, odds: float = 20.0) -> set[int]:
+def marking_words(h: np.ndarray, row: np.ndarray, toxic: np.ndarray, least: float = 24.0, odds: float = 20.0) -> np.ndarray:
     """Word hashes that mark toxic documents: over ``odds`` times as frequent there, with a log-likelihood ratio of at least ``least``.
 
-    texts: the word hashes and the label of each document, copies left out.
+    toxic: the label of each row; copies are left out before.
     """
-    clean, toxic = Counter(), Counter()
-    n = [0, 0]
-    for h, y in texts:
-        (toxic if y else clean).update(set(h.tolist()))
-        n[y] += 1
-    found = set()
-    for w, k in toxic.items():
-        c = clean[w]
-        if k < 3 or k * n[0] <= odds * c * n[1]:
-            continue
-        rate = (k + c) / (n[0] + n[1])
-        cells = ((k, n[1] * rate), (n[1] - k, n[1] * (1 - rate)), (c, n[0] * rate), (n[0] - c, n[0] * (1 - rate)))
-        if 2 * sum(o * np.log(o / x) for o, x in cells if o) >= least:
-            found.add(w)
-    return found
+    order = np.lexsort((row, h))
+    once = np.ones(len(order), bool)
+    once[1:] = (h[order[1:]] != h[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    word, where, total = np.unique(h[order[once]], return_index=True, return_counts=True)
+    k = np.add.reduceat(toxic[row[order[once]]].astype(np.int64), where) if len(where) else np.zeros(0, np.int64)
+    rows = np.unique(row)
+    n1 = int(toxic[rows].sum())
+    n0 = len(rows) - n1
+    likely = (k >= 3) & (k * n0 > odds * (total - k) * n1)
+    word, k, c = word[likely], k[likely].astype(float), (total - k)[likely].astype(float)
+    rate = (k + c) / max(n0 + n1, 1)
+    ratio = np.zeros(len(word))
+    for o, x in ((k, n1 * rate), (n1 - k, n1 * (1 - rate)), (c, n0 * rate), (n0 - c, n0 * (1 - rate))):
+        some = o > 0
+        ratio[some] += 2 * o[some] * np.log(o[some] / x[some])
+    return word[ratio >= least]
 
 
 def _originals(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -201,17 +201,22 @@ def fit(texts: list[str], labels: list[int]) -> Field | None:
     """None without documents of both kinds, or where no word marks the toxic ones."""
     if len(set(labels)) < 2:
         return None
-    column = pa.array(texts)
-    data, offs = ts.buffers(column)
-    row, h, _, _, kinds = tokens(data, offs)
+    rows, hashes, features = [], [], []
+    for lo, _, data, offs in ts.chunks(pa.array(texts)):
+        row, h, _, _, kinds = tokens(data, offs)
+        rows.append(row + lo)
+        hashes.append(h)
+        features.append(kinds.astype(np.int32))
+    row, h, kinds = np.concatenate(rows), np.concatenate(hashes), np.concatenate(features, axis=1)
+    del rows, hashes, features
     n = ts.per_row(row, len(texts))
     ends = np.cumsum(n)
-    own = _originals(h, row, len(texts))
-    marks = marking_words([(h[e - k : e], y) for e, k, y, first in zip(ends.tolist(), n.tolist(), labels, own.tolist(), strict=True) if first])
-    if not marks:
-        return None
     toxic = np.array(labels, bool)
-    tags = (np.isin(h, np.array(sorted(marks), np.uint64)) & toxic[row]).astype(np.int64)
+    own = _originals(h, row, len(texts))[row]
+    marks = marking_words(h[own], row[own], toxic)
+    if not len(marks):
+        return None
+    tags = (np.isin(h, marks) & toxic[row]).astype(np.int64)
     length = 2 * REACH + 1
     rng = np.random.default_rng(SEED)
     others = rng.choice(len(h), min(len(h), 6000), replace=False)
