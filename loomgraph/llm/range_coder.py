@@ -109,7 +109,7 @@ def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
     out = np.zeros((lanes, length + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
     flat, row, zero = out.reshape(-1), np.arange(lanes) * out.shape[1], np.zeros(lanes, U)
-    columns = np.ascontiguousarray(blocks.T).astype(np.int64)
+    columns = np.ascontiguousarray(blocks.T)
 
     def carried(who: np.ndarray) -> None:
         at = used[who] - 1
@@ -119,7 +119,8 @@ def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
             who, at = who[over], at[over] - 1
 
     first = second = np.zeros(lanes, np.int64)
-    for ids in columns:
+    for column in columns:
+        ids = column.astype(np.int64)
         classes = _classes(ids)
         model.rebuilt(False)
         model.shares(*model.slots(first, second))

@@ -26,8 +26,8 @@ from loomgraph.session import release, scratch, ship, written
 END_ID = 2
 N_IDS = 50_257
 BLOCK_IDS = 4096
-LANES = 2048
-SHARD_BYTES = 16 << 20
+LANES = 3072
+SHARD_BYTES = 24 << 20
 MAGIC = b"LOOMTOK1"
 HEAD = struct.Struct("<8sIIIIQQ")
 _MANIFEST = "shard int, path string, n_docs long, n_ids long, bytes long"
