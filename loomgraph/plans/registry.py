@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +21,21 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 RANKS = 4
 DRAWS = 1000
+#: The least quantity of the sparse order-part graph, which has unreached vertices, and where its SQL says so.
+SPARSE = 43
+_SPARSE = f" WHERE l_quantity >= {SPARSE}"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Names a query; one on the sparse order-part graph has a twin ``NAME_all`` on all line items."""
+
     def named(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLES[f.__name__] = sql
+            if _SPARSE in sql:
+                QUERIES[f"{f.__name__}_all"] = partial(f, quantity=0)
+                ORACLES[f"{f.__name__}_all"] = sql.replace(_SPARSE, "")
         return f
 
     return named
@@ -54,12 +63,12 @@ _RESULTS = """r AS (SELECT l_returnflag AS graph, CASE WHEN l_linestatus = 'O' T
   l_extendedprice / 1e4 AS total_time, l_tax AS comm_time, l_quantity AS teps, l_tax AS tax, 2 + l_discount AS max_over_mean, 1 + l_tax AS cv FROM lineitem)"""
 
 
-def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.symmetrize(graphs.order_part(spark, sf_dir))
+def _arcs(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return etl.symmetrize(graphs.order_part(spark, sf_dir, quantity))
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    arcs = _arcs(spark, sf_dir)
+def _tree(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> tuple[DataFrame, DataFrame, int]:
+    arcs = _arcs(spark, sf_dir, quantity)
     source = graphs.first_vertex(arcs)
     return bfs.bfs_from(arcs, source), arcs, source
 
@@ -68,15 +77,15 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
 
 
 @query(f"WITH {_ARCS} SELECT src, dst FROM arcs")
-def symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _arcs(spark, sf_dir)
+def symmetrize(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return _arcs(spark, sf_dir, quantity)
 
 
 @query(f"""WITH {_ARCS}, v AS (SELECT src AS v FROM arcs UNION SELECT dst FROM arcs)
 SELECT count(*)::BIGINT AS n_arcs, max(greatest(src, dst))::BIGINT AS max_id, (SELECT count(*) FROM v)::BIGINT AS n_vertices,
   ((SELECT count(*) FROM v) + 1)::BIGINT * 8 AS row_ptr_bytes, count(*)::BIGINT * 4 AS col_idx_bytes FROM arcs""")
-def edge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.edge_stats(_arcs(spark, sf_dir))
+def edge_stats(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return etl.edge_stats(_arcs(spark, sf_dir, quantity))
 
 
 @query("""WITH e AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events), arcs AS (SELECT * FROM e WHERE dst IS NOT NULL),
@@ -92,24 +101,24 @@ def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_ARCS} SELECT src, dst, (row_number() OVER (ORDER BY src, dst) - 1)::BIGINT AS position FROM arcs")
-def sorted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.sorted_edges(_arcs(spark, sf_dir))
+def sorted_edges(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return etl.sorted_edges(_arcs(spark, sf_dir, quantity))
 
 
 @query(f"WITH {_DENSE} SELECT v, id FROM ids")
-def dense_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graphs.order_part(spark, sf_dir)
+def dense_remap(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    edges = graphs.order_part(spark, sf_dir, quantity)
     return etl.remap_table(prefix(edges, ["src", "dst"]).withColumnRenamed("position", "pos"))
 
 
 @query(f"WITH {_DENSE}, {_DEGREE} SELECT v, degree, coalesce(sum(degree) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_ptr FROM deg")
-def csr_row_ptr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.row_ptr(graphs.dense(spark, sf_dir)[0])
+def csr_row_ptr(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return etl.row_ptr(graphs.dense(spark, sf_dir, quantity)[0])
 
 
 @query(f"WITH {_DENSE} SELECT (row_number() OVER (ORDER BY src, dst) - 1)::BIGINT AS position, dst AS col_idx FROM arcs")
-def csr_col_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.sorted_edges(graphs.dense(spark, sf_dir)[0]).select("position", F.col("dst").alias("col_idx"))
+def csr_col_idx(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return etl.sorted_edges(graphs.dense(spark, sf_dir, quantity)[0]).select("position", F.col("dst").alias("col_idx"))
 
 
 @query("""WITH e AS (SELECT 2 * o_custkey AS src, 2 * o_orderkey + 1 AS dst FROM orders), arcs AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)
@@ -127,27 +136,27 @@ def catalog_directed_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM edges")
-def edge_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edge_list_scan(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
     """The edges written as text, with comments and lines that hold no edge, and read again."""
     path = scratch(spark, "edge-list")
-    edge_list.write(graphs.order_part(spark, sf_dir), path)
+    edge_list.write(graphs.order_part(spark, sf_dir, quantity), path)
     spark.createDataFrame([("# a comment",), ("x y",), ("7",), ("",)], "value string").coalesce(1).write.mode("append").text(path)
     return edge_list.read(spark, path)
 
 
 @query(f"""WITH {_ARCS}, {_DEGREE} SELECT degree, count(*)::BIGINT AS n FROM deg GROUP BY degree""")
-def shuffle_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shuffle_remap(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
     """Degrees after a shuffle of the edges and renumbering: the same as before it."""
-    edges = graphs.order_part(spark, sf_dir)
+    edges = graphs.order_part(spark, sf_dir, quantity)
     ids = written(etl.remap_table(etl.shuffled_positions(edges, 5)), "remap")
     return etl.out_degree(etl.renumbered(etl.symmetrize(edges), ids)).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_DENSE} SELECT src, dst FROM arcs")
-def csr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def csr_roundtrip(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
     """The dense arcs written as a compressed-row file and read back by blocks of vertices."""
     path = f"{scratch(spark, 'csr')}/graph.bin"
-    csr.write(graphs.dense(spark, sf_dir)[0], path)
+    csr.write(graphs.dense(spark, sf_dir, quantity)[0], path)
     return csr.read(spark, path)
 
 
@@ -156,27 +165,27 @@ def csr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_ARCS}, {_ROOT}, f AS (SELECT s AS v FROM root UNION SELECT dst FROM arcs JOIN root ON src = s)
 SELECT dst AS v, min(src)::BIGINT AS parent FROM arcs WHERE src IN (FROM f) AND dst NOT IN (FROM f) GROUP BY dst""")
-def bfs_expand_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bfs_expand_one_hop(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
     """What the root and its neighbours reach in one step."""
-    arcs = _arcs(spark, sf_dir)
+    arcs = _arcs(spark, sf_dir, quantity)
     source = graphs.first_vertex(arcs)
     near = arcs.where(F.col("src") == source).select(F.col("dst").alias("v")).union(spark.createDataFrame([(source,)], "v long")).distinct()
     return bfs.expand_one_hop(near, arcs)
 
 
 @query(f"WITH RECURSIVE {_TREE} SELECT v, d FROM tree")
-def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir)[0].select("v", "d")
+def bfs_levels(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return _tree(spark, sf_dir, quantity)[0].select("v", "d")
 
 
 @query(f"WITH RECURSIVE {_TREE} SELECT v, d, parent FROM tree")
-def bfs_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir)[0]
+def bfs_parents(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return _tree(spark, sf_dir, quantity)[0]
 
 
 @query(f"WITH RECURSIVE {_TREE}, {_DEGREE} SELECT d, count(*)::BIGINT AS frontier_size, sum(degree)::BIGINT AS scanned_arcs FROM tree JOIN deg USING (v) GROUP BY d")
-def bfs_level_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, arcs, _ = _tree(spark, sf_dir)
+def bfs_level_profile(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    tree, arcs, _ = _tree(spark, sf_dir, quantity)
     return bfs.level_profile(tree, etl.out_degree(arcs))
 
 
@@ -184,8 +193,8 @@ _KEYS = ", ".join(f"({i}, {x})" for i, x in enumerate(glibc.rand(11, 64)))
 
 
 @query(f"WITH {_DENSE} SELECT k.run::INTEGER AS run, (k.x % (SELECT n FROM size))::BIGINT AS source FROM (VALUES {_KEYS}) k(run, x)")
-def search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = etl.vertices(graphs.order_part(spark, sf_dir)).count()
+def search_keys(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    n = etl.vertices(graphs.order_part(spark, sf_dir, quantity)).count()
     return spark.createDataFrame(list(enumerate(glibc.search_keys(n))), "run int, source long")
 
 
@@ -196,18 +205,18 @@ lv(run, v, d) USING KEY (run, v) AS (
 )
 SELECT b.run::INTEGER AS run, b.v, b.d::INTEGER AS d, CASE WHEN b.d = 0 THEN b.v ELSE min(p.v) END AS parent
 FROM lv b LEFT JOIN arcs e ON e.dst = b.v LEFT JOIN lv p ON p.run = b.run AND p.v = e.src AND p.d = b.d - 1 GROUP BY b.run, b.v, b.d""")
-def bfs_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bfs_multi_source(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
     """All 64 runs of the benchmark in one search."""
-    arcs, n = graphs.dense(spark, sf_dir)
+    arcs, n = graphs.dense(spark, sf_dir, quantity)
     roots = spark.createDataFrame(list(enumerate(glibc.search_keys(n))), "run int, source long")
     return bfs.bfs(arcs, roots)
 
 
 @query(f"""WITH RECURSIVE {_TREE} SELECT v // 64 AS word, bit_or(CASE WHEN v % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (v % 64)::INTEGER END) AS bits
 FROM tree WHERE d = 3 GROUP BY v // 64""")
-def frontier_bitset_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frontier_bitset_words(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
     """The frontier of level 3 as 64-bit words."""
-    return bfs.bitset_words(_tree(spark, sf_dir)[0].where("d = 3").select("v"))
+    return bfs.bitset_words(_tree(spark, sf_dir, quantity)[0].where("d = 3").select("v"))
 
 
 # Validation, on a tree in which some parents are moved to the root
@@ -215,21 +224,21 @@ def frontier_bitset_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BAD = f"{_TREE}, bad AS (SELECT v, d, CASE WHEN d >= 2 AND v % 7 = 0 THEN s ELSE parent END AS parent FROM tree, root)"
 
 
-def _damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    tree, arcs, source = _tree(spark, sf_dir)
+def _damaged(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> tuple[DataFrame, DataFrame, int]:
+    tree, arcs, source = _tree(spark, sf_dir, quantity)
     moved = F.when((F.col("d") >= 2) & (F.col("v") % 7 == 0), F.lit(source)).otherwise(F.col("parent"))
     return tree.withColumn("parent", moved), arcs, source
 
 
 @query(f"WITH RECURSIVE {_BAD} SELECT v, d, parent FROM bad b WHERE d > 0 AND NOT EXISTS (SELECT 1 FROM arcs e WHERE e.src = b.v AND e.dst = b.parent)")
-def validate_tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, arcs, source = _damaged(spark, sf_dir)
+def validate_tree_edges(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    tree, arcs, source = _damaged(spark, sf_dir, quantity)
     return validate.bad_edges(tree, arcs, source)
 
 
 @query(f"WITH RECURSIVE {_BAD} SELECT b.v, b.d, b.parent, p.d AS parent_d FROM bad b JOIN bad p ON p.v = b.parent WHERE b.d > 0 AND b.d <> p.d + 1")
-def validate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, _, source = _damaged(spark, sf_dir)
+def validate_levels(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    tree, _, source = _damaged(spark, sf_dir, quantity)
     return validate.bad_levels(tree, source)
 
 
@@ -238,15 +247,15 @@ SELECT 'root' AS check_name, 0::BIGINT AS errors UNION ALL SELECT 'parent', 0 UN
 SELECT 'edge', count(*) FROM bad b WHERE d > 0 AND NOT EXISTS (SELECT 1 FROM arcs e WHERE e.src = b.v AND e.dst = b.parent) UNION ALL
 SELECT 'level', count(*) FROM bad b JOIN bad p ON p.v = b.parent WHERE b.d > 0 AND b.d <> p.d + 1 UNION ALL
 SELECT 'arc', count(*) FROM arcs LEFT JOIN tree a ON a.v = src LEFT JOIN tree b ON b.v = dst WHERE (a.v IS NULL) <> (b.v IS NULL) OR abs(a.d - b.d) > 1""")
-def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, arcs, source = _damaged(spark, sf_dir)
+def validate_summary(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    tree, arcs, source = _damaged(spark, sf_dir, quantity)
     return validate.summary(tree, arcs, source, etl.vertices(arcs))
 
 
 @query(f"WITH {_DENSE} SELECT count(*)::BIGINT AS misrouted FROM arcs, size WHERE dst % {RANKS} <> dst // block")
-def routing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routing_check(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
     """Arcs that a cyclic instead of a block distribution would bring to another rank than their owner."""
-    arcs, n = graphs.dense(spark, sf_dir)
+    arcs, n = graphs.dense(spark, sf_dir, quantity)
     return metrics.misrouted(arcs, F.col("dst") % RANKS, n, RANKS)
 
 
@@ -254,8 +263,8 @@ def routing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_DENSE} SELECT id AS v, (id // block)::BIGINT AS rank FROM ids, size")
-def vertex_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs, n = graphs.dense(spark, sf_dir)
+def vertex_owner(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    arcs, n = graphs.dense(spark, sf_dir, quantity)
     return etl.vertices(arcs).select("v", metrics.owner(F.col("v"), n, RANKS).alias("rank"))
 
 
@@ -263,16 +272,16 @@ _MATRIX = f"{_DENSE}, matrix AS (SELECT (src // block)::BIGINT AS sender, (dst /
 
 
 @query(f"WITH {_MATRIX} SELECT sender, receiver, messages FROM matrix")
-def message_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs, n = graphs.dense(spark, sf_dir)
+def message_matrix(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    arcs, n = graphs.dense(spark, sf_dir, quantity)
     return metrics.message_matrix(arcs, n, RANKS)
 
 
 @query(f"""WITH {_MATRIX} SELECT sender, receiver, messages,
   coalesce(sum(messages) OVER (PARTITION BY sender ORDER BY receiver ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS send_start,
   coalesce(sum(messages) OVER (PARTITION BY receiver ORDER BY sender ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS receive_start FROM matrix""")
-def displacements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs, n = graphs.dense(spark, sf_dir)
+def displacements(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    arcs, n = graphs.dense(spark, sf_dir, quantity)
     return metrics.displacements(metrics.message_matrix(arcs, n, RANKS))
 
 
@@ -281,22 +290,22 @@ local AS (SELECT r.rank, (2 * coalesce(k, 0))::BIGINT AS traversed FROM (SELECT
   LEFT JOIN (SELECT v // block AS rank, sum(degree) AS k FROM lv JOIN deg USING (v), size GROUP BY ALL) USING (rank))"""
 
 
-def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs, n = graphs.dense(spark, sf_dir)
+def _local(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    arcs, n = graphs.dense(spark, sf_dir, quantity)
     return metrics.traversed_by_rank(bfs.bfs_from(arcs, 0), etl.out_degree(arcs), n, RANKS)
 
 
 @query(f"WITH RECURSIVE {_LOCAL} SELECT rank::BIGINT AS rank, traversed FROM local")
-def traversed_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _local(spark, sf_dir)
+def traversed_by_rank(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    return _local(spark, sf_dir, quantity)
 
 
 @query(f"""WITH RECURSIVE {_LOCAL}, a AS (SELECT max(traversed) AS top, sum(traversed)::BIGINT AS total, count(*)::BIGINT AS p, sum(traversed * traversed)::BIGINT AS squares FROM local),
 b AS (SELECT *, total / p AS mean, (total // 2) / p AS half FROM a)
 SELECT p, total, round(top / half, 9) AS max_over_mean_ref, round(sqrt(squares / p - 2 * half * mean + half * half) / half, 9) AS cv_ref,
   round(top / mean, 9) AS max_over_mean, round(sqrt(squares / p - mean * mean) / mean, 9) AS cv FROM b""")
-def imbalance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.imbalance(_local(spark, sf_dir))
+def imbalance_metrics(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
+    found = metrics.imbalance(_local(spark, sf_dir, quantity))
     return found.select("p", "total", *(F.round(c, 9).alias(c) for c in ("max_over_mean_ref", "cv_ref", "max_over_mean", "cv")))
 
 
@@ -362,9 +371,9 @@ def plot_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_EDGES}, both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), arcs AS (SELECT * FROM both_ways), {_DEGREE},
 t AS (SELECT v, degree, row_number() OVER (ORDER BY v) AS k FROM deg) SELECT v, degree FROM t WHERE k <= 15""")
-def debug_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def debug_rows(spark: SparkSession, sf_dir: str, quantity: int = SPARSE) -> DataFrame:
     """The degrees of the first 15 ids, as a debug dump shows them."""
-    return etl.out_degree(_arcs(spark, sf_dir)).orderBy("v").limit(15)
+    return etl.out_degree(_arcs(spark, sf_dir, quantity)).orderBy("v").limit(15)
 
 
 _NAMES = """n AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'basic' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'other' ELSE 'basicx' END || CAST(o_custkey % 128 AS VARCHAR) AS stem, o_orderkey FROM orders)"""

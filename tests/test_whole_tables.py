@@ -1,0 +1,34 @@
+"""Order-part queries over all line items against their SQL on the smallest tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from loomgraph.plans import registry
+
+from test_queries import SF, rows
+
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
+NAMES = ["symmetrize", "csr_row_ptr", "edge_list_scan", "bfs_parents", "validate_summary", "imbalance_metrics", "debug_rows"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_takes_all_line_items(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    want = con.sql(registry.ORACLES[f"{name}_all"])
+    got = registry.QUERIES[f"{name}_all"](spark, SF)
+    assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
+
+
+def test_no_row_filter_is_without_a_query_over_all_rows():
+    sparse = {n for n, sql in registry.ORACLES.items() if "l_quantity >=" in sql}
+    assert len(sparse) == 26
+    assert {f"{n}_all" for n in sparse} <= set(registry.QUERIES)
+
+
+def test_edges_are_all_line_items(spark):
+    assert registry.QUERIES["symmetrize_all"](spark, SF).count() == 2 * spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert __spark_entry__.entry(spark).count() == 1673  # FIXTURES.md, part 4
