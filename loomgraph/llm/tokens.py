@@ -4,12 +4,14 @@ A byte-level pre-tokenizer always breaks at certain places, whatever stands furt
 non-space follows, between letters and the punctuation after them, before white space that follows anything else,
 and after a single line break. Texts are cut there, a whole column at a time; each distinct piece is encoded by the
 library once, and the ids of a text are those of its pieces in a row: the same ids as for the whole text. Characters
-that aren't told apart by two bytes at most are never cut between, which only makes pieces longer.
+that aren't told apart by two bytes at most are never cut between, which only makes pieces longer. A text that holds
+the string of an added token, as <|endoftext|>, is one piece, since the library looks for these before anything else.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -57,7 +59,8 @@ class Encoder:
 
     def __init__(self, path: str, entries: int = 1_000_000, pool: int = 16_000_000) -> None:
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((t.content.encode() for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, added)) or rb"(?!)")
         self.entries, self.most = entries, pool
         self.forget()
 
@@ -68,7 +71,10 @@ class Encoder:
         """Ids of words that are one pre-token each; pre-token ``step * i`` is the i-th word."""
         if not words:
             return []
-        got = self.library.encode(between.join(words), add_special_tokens=False)
+        text = between.join(words)
+        if self.added.search(text.encode()):
+            return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        got = self.library.encode(text, add_special_tokens=False)
         ids, of = np.array(got.ids, np.uint32), np.array(got.word_ids, np.int64)
         at = np.arange(0, step * len(words), step)
         return [ids[a:b] for a, b in zip(np.searchsorted(of, at).tolist(), np.searchsorted(of, at, "right").tolist(), strict=True)]
@@ -88,18 +94,36 @@ class Encoder:
         order = np.argsort(keys)
         self.keys, self.first, self.size = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
 
+    def _holders(self, raw: bytes, offs: np.ndarray) -> list[int]:
+        """Texts that hold an added token's string."""
+        found: list[int] = []
+        at = 0
+        while hit := self.added.search(raw, at):
+            i = int(np.searchsorted(offs, hit.start(), "right")) - 1
+            if hit.end() <= offs[i + 1]:
+                found.append(i)
+                at = int(offs[i + 1])
+            else:
+                at = hit.start() + 1
+        return found
+
     def encode_bytes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, and the number of ids of each."""
         if len(self.keys) > self.entries or len(self.pool) > self.most:
             self.forget()
-        start = piece_starts(data, offs)
+        start, raw = piece_starts(data, offs), data.tobytes()
+        whole = self._holders(raw, offs)
+        if whole:
+            inside = np.zeros(len(data), bool)
+            for i in whole:
+                inside[offs[i] + 1 : offs[i + 1]] = True
+            start = start[~inside[start]]
         end = np.append(start[1:], len(data))
         h = ts.span_hashes(data, start, end)
         at = self._found(h)
         new = np.flatnonzero(at < 0)
         if len(new):
             keys, where = np.unique(h[new], return_index=True)
-            raw = data.tobytes()
             self._learn([raw[start[i] : end[i]].decode() for i in new[where].tolist()], keys)
             at = self._found(h)
         size = self.size[at]
