@@ -39,11 +39,11 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _repeats(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (row, value), and for each place in it whether it equals the one before."""
-    order = np.lexsort((value, row))
+def _repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the keys, and for each place in it whether it equals the one before."""
+    order = np.lexsort(keys[::-1])
     same = np.zeros(len(order), bool)
-    same[1:] = (row[order[1:]] == row[order[:-1]]) & (value[order[1:]] == value[order[:-1]])
+    same[1:] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
     return order, same
 
 
@@ -61,11 +61,12 @@ def measured(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     line_start, line_end = line_start[full], line_end[full]
     line_row = np.searchsorted(offs, line_start, "right") - 1
     out["n_lines"] = ts.per_row(line_row, n)
-    order, same = _repeats(line_row, ts.span_hashes(data, line_start, line_end))
+    order, same = _repeats(line_row, ts.identities(data, line_start, line_end))
     out["n_dup_lines"] = ts.per_row(line_row[order[same]], n)
 
-    at, value = ts.windows(ts.span_hashes(data, start, end), row, 3)
-    order, same = _repeats(row[at], value)
+    word = ts.identities(data, start, end)
+    at = np.flatnonzero(row[:-2] == row[2:])
+    order, same = _repeats(row[at], word[at], word[at + 1], word[at + 2])
     twice = same.copy()
     twice[:-1] |= same[1:]
     cover = np.zeros(len(start) + 3, bool)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
+BASE = U(0x9E3779B97F4A7C15)
 STEP = U(0xD6E8FEB86659FD93)
 CHUNK = 1 << 20
 
@@ -19,16 +19,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2^64 for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, CHUNK + 2)
-        inverse = U(pow(int(BASE), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate(([U(1)], np.full(m - 1, b, U))), dtype=U) for b in (BASE, inverse)]
-    return _powers[0], _powers[1]
+#: Masks of the lowest 0 to 8 bytes of a lane.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -82,12 +74,72 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the span stands."""
-    power, inverse = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=total[1:])
-    return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * STEP)
+class Lanes:
+    """The bytes of a column as 8-byte little-endian numbers that may begin anywhere."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.held = np.zeros((len(data) >> 3) + 2, U)
+        self.held.view(np.uint8)[: len(data)] = data
+
+    def at(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first ``size`` bytes (8 at most) from each place on, as one number."""
+        word = place >> 3
+        shift = (place & 7).astype(U) << U(3)
+        low = self.held.take(word) >> shift
+        return (low | (self.held.take(word + 1) << U(1)) << (U(63) - shift)) & _MASK.take(np.minimum(size, 8))
+
+
+def _later(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of more than 8 bytes; for each of their further lanes the place of the span among them, and the lane's number."""
+    long_ = np.flatnonzero(size > 8)
+    count = (size[long_] - 1) >> 3
+    of = np.repeat(np.arange(len(long_)), count)
+    return long_, of, np.arange(len(of)) - (np.cumsum(count) - count)[of] + 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, the same wherever the span stands.
+
+    Each lane of 8 bytes goes through a mixer together with its number in the span, and the results add up: there is
+    no polynomial whose powers could cancel out. Spans of one length up to 8 bytes never collide.
+    """
+    lanes, size, key = Lanes(data), end - start, U(salt) * STEP + BASE
+    total = mixed(lanes.at(start, size) + key)
+    long_, of, number = _later(size)
+    if len(long_):
+        place = start[long_][of] + 8 * number
+        each = mixed(mixed(lanes.at(place, end[long_][of] - place) + key) + number.astype(U) * BASE)
+        total[long_] += np.add.reduceat(each, np.searchsorted(of, np.arange(len(long_))))
+    return mixed(total + size.astype(U) * STEP)
+
+
+def same(data: np.ndarray, start: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether spans ``one`` and ``two`` (places in start and end) hold the same bytes."""
+    lanes, a, b, size = Lanes(data), start[one], start[two], end[one] - start[one]
+    equal = (size == end[two] - b) & (lanes.at(a, size) == lanes.at(b, size))
+    long_, of, number = _later(np.where(equal, size, 0))
+    if len(long_):
+        step, left = 8 * number, size[long_][of] - 8 * number
+        differ = lanes.at(a[long_][of] + step, left) != lanes.at(b[long_][of] + step, left)
+        equal[long_] = np.bincount(of, differ, minlength=len(long_)) == 0
+    return equal
+
+
+def identities(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for two spans only if their bytes are: hashes propose, bytes decide."""
+    h = span_hashes(data, start, end)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    number = np.cumsum(new) - 1
+    out = np.empty(len(order), np.int64)
+    out[order] = number
+    differ = ~same(data, start, end, order, order[np.flatnonzero(new)][number] if len(order) else order)
+    if differ.any():  # one hash for several contents
+        raw, seen = data.tobytes(), {}
+        for i in order[np.isin(number, number[differ])].tolist():
+            out[i] = len(order) + seen.setdefault(raw[start[i] : end[i]], len(seen))
+    return out
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
