@@ -10,12 +10,15 @@ position) bucketed by the top bits of the hash, never as a row a window:
   others are already known to go. A window that a third of all documents hold is thus sent once a block.
 * radix levels: at most ``LEVEL_BITS`` bits of the hash a shuffle, so blobs stay large at any input size; levels
   are added until a bucket has about ``BUCKET`` windows.
-* count: in each bucket equal hashes meet, and all but those of the smallest id are removed.
+* count: in each bucket equal hashes meet, and all but those of the smallest id are removed. What a block already
+  knows to go passes by as a group of its own, no larger than a block and without hashes.
 
-Hashes have 64 bits: of w different windows about w*w / 2**65 pairs agree by chance.
+Two Rabin-Karp values of independent word hashes, 96 bits together, tell windows apart: of w different windows about
+w*w / 2**97 pairs agree by chance, 0.002 for the 17 trillion windows of 100 TB.
 
 Defined results: null and empty texts have no words; texts of under ``size`` words lose nothing; rows with equal ids
-don't remove one another's windows; a null id counts as larger than any other; other columns are ignored.
+don't remove one another's windows; a null id counts as the largest, 2**63 - 1; a text of any length is read whole,
+by one task, whose memory grows with it (README); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,35 +42,50 @@ LEVEL_BITS = 10
 LAST = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 56) - 1)
 _BLOB = "bucket long, hashes binary, rest binary"
-_CUT = "k1 long, k2 int, pos int"
+_CUT = "k1 long, k2 long, pos int"
 
 
-def _packed(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes]:
-    """Entries in the order of documents and positions. The top byte of a hash is not stored: the bucket has it."""
-    first = np.ones(len(h), bool)
+def _packed(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None, check: np.ndarray | None = None) -> tuple[bytes, bytes]:
+    """Entries in the order of documents and positions, with hashes or without. The top byte of a hash is not stored: the bucket has it."""
+    first = np.ones(len(k1), bool)
     first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
     at = np.flatnonzero(first)
     gaps = pos.astype(np.int64)
     gaps[1:] -= np.where(first[1:], 0, pos[:-1])
     gaps = gaps.astype(np.uint16 if gaps.max() < 1 << 16 else np.uint32)
-    counts = np.diff(np.append(at, len(h))).astype(np.uint32)
-    head = np.array([len(h), len(at), gaps.itemsize], np.int64)
+    counts = np.diff(np.append(at, len(k1))).astype(np.uint32)
+    head = np.array([len(k1), len(at), gaps.itemsize], np.int64)
     raw = b"".join(x.tobytes() for x in (head, np.diff(k1[at], prepend=0), k2[at], counts, gaps))
-    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes(), zstandard.ZstdCompressor(level=1).compress(raw)
+    hashes = b"" if h is None else np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes() + check.tobytes()
+    return hashes, zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpacked(hashes: bytes, rest: bytes) -> tuple[np.ndarray, ...]:
+    """k1, k2 and pos, and with hashes also h and check."""
     raw = zstandard.ZstdDecompressor().decompress(rest)
     n, docs, width = np.frombuffer(raw, np.int64, 3)
     k1 = np.cumsum(np.frombuffer(raw, np.int64, docs, 24))
-    k2 = np.frombuffer(raw, np.int32, docs, 24 + 8 * docs)
-    counts = np.frombuffer(raw, np.uint32, docs, 24 + 12 * docs).astype(np.int64)
-    gaps = np.frombuffer(raw, {2: np.uint16, 4: np.uint32}[int(width)], n, 24 + 16 * docs).astype(np.int64)
+    k2 = np.frombuffer(raw, np.int64, docs, 24 + 8 * docs)
+    counts = np.frombuffer(raw, np.uint32, docs, 24 + 16 * docs).astype(np.int64)
+    gaps = np.frombuffer(raw, {2: np.uint16, 4: np.uint32}[int(width)], n, 24 + 20 * docs).astype(np.int64)
     total, start = np.cumsum(gaps), np.cumsum(counts) - counts
     pos = total - np.repeat(total[start] - gaps[start], counts)
+    entries = np.repeat(k1, counts), np.repeat(k2, counts), pos
+    if not hashes:
+        return entries
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :7] = np.frombuffer(hashes, np.uint8).reshape(-1, 7)
-    return wide.view(np.uint64).ravel(), np.repeat(k1, counts), np.repeat(k2, counts), pos
+    wide[:, :7] = np.frombuffer(hashes, np.uint8, 7 * n).reshape(-1, 7)
+    return *entries, wide.view(np.uint64).ravel(), np.frombuffer(hashes, np.uint32, n, 7 * n)
+
+
+def _grouped(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows stand together, entries of one window as they were, and where each window begins in it."""
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    if (same & (check[order[1:]] != check[order[:-1]])).any():  # two windows of one h
+        order = np.lexsort((check, h))
+        same = (h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+    return order, np.append(np.ones(min(1, len(h)), bool), ~same)
 
 
 def _split(bucket: np.ndarray, entries: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
@@ -88,47 +107,52 @@ class _Block:
     def __init__(self) -> None:
         self.k1, self.k2, self.parts, self.docs, self.n = [], [], [], 0, 0
 
-    def add(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> None:
+    def add(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
         self.k1.append(k1)
         self.k2.append(k2)
-        self.parts.append(((doc + self.docs).astype(np.int32), pos.astype(np.int32), h))
+        self.parts.append(((doc + self.docs).astype(np.int32), pos.astype(np.int32), h, check))
         self.docs, self.n = self.docs + len(k1), self.n + len(h)
 
-    def sent(self, bits: int) -> Iterator[pa.RecordBatch]:
+    def sent(self, bits: int, number: int) -> Iterator[pa.RecordBatch]:
+        """number: of this block, among all."""
         if not self.n:
             return
         k1, k2 = np.concatenate(self.k1), np.concatenate(self.k2)
-        doc, pos, h = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        doc, pos, h, check = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts = []
         rank = np.empty(len(k1), np.int64)
         rank[np.lexsort((k2, k1))] = np.arange(len(k1))
         by_id = np.argsort(rank[doc], kind="stable")
-        doc, pos, h = doc[by_id], pos[by_id], h[by_id]
-        order = np.argsort(h, kind="stable")
-        first = np.append(True, h[order[1:]] != h[order[:-1]])
+        doc, pos, h, check = doc[by_id], pos[by_id], h[by_id], check[by_id]
+        order, first = _grouped(h, check)
         least = k1[doc[order[first]]][np.cumsum(first) - 1]
         goes = k1[doc[order]] > least
         on, off = np.sort(order[~goes]), np.sort(order[goes])
         bucket = (h[on] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(on), np.int64)
-        yield from _split(bucket, (h[on], k1[doc[on]], k2[doc[on]], pos[on]))
-        if len(off):  # known already: under a negative bucket, which only passes it on
-            hashes, rest = _packed(h[off], k1[doc[off]], k2[doc[off]], pos[off])
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(h[off[0]] % np.uint64(64))], pa.int64()), pa.array([hashes], pa.binary()), pa.array([rest], pa.binary())], ["bucket", "hashes", "rest"])
+        yield from _split(bucket, (k1[doc[on]], k2[doc[on]], pos[on], h[on], check[on]))
+        if len(off):  # known already: a negative bucket of its own, which only passes it on
+            yield _one(-1 - number, *_packed(k1[doc[off]], k2[doc[off]], pos[off]))
+
+
+def _one(bucket: int, hashes: bytes, rest: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([hashes], pa.binary()), pa.array([rest], pa.binary())], ["bucket", "hashes", "rest"])
 
 
 def _blobs(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block()
+        block, number = _Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, data, offs in ts.chunks(batch.column(2)):
                 start, end, row = ts.words(data, offs)
                 at, value = ts.windows(ts.span_hashes(data, start, end), row, size)
+                check = (ts.windows(ts.span_hashes(data, start, end, salt=1), row, size)[1] >> np.uint64(32)).astype(np.uint32)
                 before = np.searchsorted(row, np.arange(hi - lo))
-                block.add(k1[lo:hi], k2[lo:hi], row[at], at - before[row[at]], value)
+                block.add(k1[lo:hi], k2[lo:hi], row[at], at - before[row[at]], value, check)
                 if block.n >= BLOCK:
-                    yield from block.sent(bits)
-                    block = _Block()
-        yield from block.sent(bits)
+                    yield from block.sent(bits, number)
+                    block, number = _Block(), number + 1
+        yield from block.sent(bits, number)
 
     return run
 
@@ -141,12 +165,12 @@ def _finer(low: int, bits: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                h, k1, k2, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+                k1, k2, pos, h, check = (np.concatenate(x) for x in zip(*held, strict=True))
                 order = np.lexsort((pos, k2, k1))
-                h, k1, k2, pos = h[order], k1[order], k2[order], pos[order]
+                k1, k2, pos, h, check = k1[order], k2[order], pos[order], h[order], check[order]
                 top = np.uint64(now) << np.uint64(64 - low) if low else np.uint64(0)
                 full = (h & (np.uint64((1 << (64 - low)) - 1))) | top
-                yield from _split((full >> np.uint64(64 - bits)).astype(np.int64), (h, k1, k2, pos))
+                yield from _split((full >> np.uint64(64 - bits)).astype(np.int64), (k1, k2, pos, full, check))
 
         for batch in batches:
             for bucket, hashes, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -154,7 +178,7 @@ def _finer(low: int, bits: int):
                     yield from flush()
                     held, n, now = [], 0, bucket
                 if bucket < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([hashes], pa.binary()), pa.array([rest], pa.binary())], ["bucket", "hashes", "rest"])
+                    yield _one(bucket, hashes, rest)
                     continue
                 held.append(_unpacked(hashes, rest))
                 n += len(held[-1][0])
@@ -166,10 +190,9 @@ def _finer(low: int, bits: int):
 def _counted(table: pa.Table) -> pa.Table:
     """The entries of one bucket that go."""
     parts = [_unpacked(a, b) for a, b in zip(table["hashes"].to_pylist(), table["rest"].to_pylist(), strict=True)]
-    h, k1, k2, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if table["bucket"][0].as_py() >= 0:
-        order = np.argsort(h, kind="stable")
-        first = np.append(True, h[order[1:]] != h[order[:-1]])
+    k1, k2, pos, *hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if hashes:
+        order, first = _grouped(*hashes)
         least = np.minimum.reduceat(k1[order], np.flatnonzero(first))[np.cumsum(first) - 1]
         gone = np.sort(order[k1[order] > least])
         k1, k2, pos = k1[gone], k2[gone], pos[gone]
@@ -202,7 +225,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k1 and k2 tell rows apart, except where id and text are equal."""
     return docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(int(LAST))).alias("k1"),
-        F.pmod(F.xxhash64(docs[text_col]), F.lit(2**31 - 1)).cast("int").alias("k2"),
+        F.xxhash64(docs[text_col]).alias("k2"),
         docs[text_col].alias("text"), docs[id_col].alias("id"),
     )
 
@@ -222,7 +245,7 @@ def removal_intervals(docs: DataFrame, size: int = 13, id_col: str = "doc_id", t
         low = high
     gone = blobs.groupBy("bucket").applyInArrow(_counted, _CUT)
     starts = gone.groupBy("k1", "k2").agg(F.collect_list("pos").alias("starts"))
-    cuts = written(starts.mapInArrow(_merged(size), "k1 long, k2 int, cuts array<int>"), "substring-cuts")
+    cuts = written(starts.mapInArrow(_merged(size), "k1 long, k2 long, cuts array<int>"), "substring-cuts")
     release(spark)
     return cuts
 

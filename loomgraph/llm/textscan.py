@@ -103,7 +103,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int
     Each lane of 8 bytes goes through a mixer together with its number in the span, and the results add up: there is
     no polynomial whose powers could cancel out. Spans of one length up to 8 bytes never collide.
     """
-    lanes, size, key = Lanes(data), end - start, U(salt) * STEP + BASE
+    lanes, size, key = Lanes(data), end - start, U((salt * int(STEP) + int(BASE)) & (1 << 64) - 1)
     total = mixed(lanes.at(start, size) + key)
     long_, of, number = _later(size)
     if len(long_):

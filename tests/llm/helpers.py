@@ -24,6 +24,14 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1, "y", 2) for i, t, s in rows], KINDS)
 
 
+def thue_morse(n):
+    """Two words of n letters in which every polynomial hash modulo a power of two agrees, if n is large."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
 def awkward():
     """Nulls in any column, empty, blank, very long and repeated texts, ties and repeated rows."""
     base = sentence(1, 80)
@@ -33,6 +41,10 @@ def awkward():
         (9, sentence(2, 30_000), "a"), (10, "ab " * 400, "a"), (11, "line one here\nline one here\n\n#$% x", "é"), (None, base, "a"), (None, None, None),
         (12, "dup row text", "b"), (12, "dup row text", "b"), (13, "ünï çödé 　 naïve\x1cword\x85x  y", "z"), (14, sentence(3, 13), "z"), (15, sentence(3, 13) + " more", "z"),
     ]
+    for k, n in enumerate((1024, 2048, 4096)):
+        for j, odd in enumerate(thue_morse(n)):
+            rows.append((20 + 2 * k + j, f"{odd}\n{sentence(10, 20)} {odd} {sentence(11, 20)}\n{odd[::-1]}", "t"))
+    rows += [(30, f"{x}\n{y}\n{x}", "t") for x, y in [thue_morse(2048)]]
     return rows
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules, range_coder, shards, substring_dedup, token_store, tokens, toxic_crf, warc
 from loomgraph.llm import ordinal_quality as oq
+from loomgraph.llm import textscan as ts
 from loomgraph.session import scratch
 
-from .helpers import awkward, docs, held_out, lower, sentence, words
+from .helpers import awkward, docs, held_out, lower, sentence, thue_morse, words
 
 
 @pytest.fixture(scope="module")
@@ -204,8 +205,18 @@ def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_radix_levels_pass_every_bucket():
-    assert substring_dedup._unpacked(*substring_dedup._packed(np.array([7, 5], np.uint64), np.array([-3, 9]), np.array([1, 2], np.int32), np.array([70_000, 0])))[3].tolist() == [70_000, 0]
+def test_blobs_hold_entries():
+    k1, k2, pos = np.array([-3, 9]), np.array([1, 2]), np.array([70_000, 0], np.int32)
+    h, check = np.array([7, 5], np.uint64), np.array([3, 2**32 - 1], np.uint32)
+    assert [x.tolist() for x in substring_dedup._unpacked(*substring_dedup._packed(k1, k2, pos, h, check))] == [x.tolist() for x in (k1, k2, pos, h, check)]
+    assert [x.tolist() for x in substring_dedup._unpacked(*substring_dedup._packed(k1, k2, pos))] == [x.tolist() for x in (k1, k2, pos)]
+
+
+def test_windows_of_one_hash_are_told_apart():
+    h, check = np.array([5, 5, 5, 1], np.uint64), np.array([2, 1, 2, 9], np.uint32)
+    order, first = substring_dedup._grouped(h, check)
+    assert order.tolist() == [3, 1, 0, 2]
+    assert first.tolist() == [True, True, True, False]
 
 
 # Tokens, packing and files
@@ -447,3 +458,30 @@ def test_marginals_are_those_of_all_taggings():
             on += p * np.array(tags)
         assert np.allclose(got[at : at + k], on / total if k else [])
         at += k
+
+
+# Hashes
+
+
+def test_hashes_of_spans():
+    for n in (8, 9, 16, 1024, 4096):
+        x, y = (w.encode() for w in thue_morse(n))
+        data = np.frombuffer(x + b" " + y + b"  " + x, np.uint8)
+        start, end, _ = ts.words(data, np.array([0, len(data)]))
+        for got in (ts.span_hashes(data, start, end), ts.span_hashes(data, start, end, salt=1), ts.identities(data, start, end)):
+            assert got[0] == got[2] != got[1]
+    rng = random.Random(1)
+    spans = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    data = np.frombuffer(" ".join(spans).encode(), np.uint8)
+    start, end, _ = ts.words(data, np.array([0, len(data)]))
+    assert len(set(zip(spans, ts.span_hashes(data, start, end).tolist(), strict=True))) == len(set(spans))
+
+
+def test_bytes_decide_where_hashes_agree(monkeypatch):
+    monkeypatch.setattr(ts, "span_hashes", lambda data, start, end, salt=0: (end - start).astype(np.uint64))
+    spans = ["aa", "bb", "aa", "c", "bb", "long enough"[:9], "long enoogh"[:9], "x" * 20, "x" * 19 + "y", "x" * 20]
+    spans = [s.replace(" ", "_") for s in spans]
+    data = np.frombuffer(" ".join(spans).encode(), np.uint8)
+    start, end, _ = ts.words(data, np.array([0, len(data)]))
+    got = ts.identities(data, start, end).tolist()
+    assert len(set(got)) == len(set(spans)) == len(set(zip(spans, got, strict=True)))
