@@ -1,35 +1,50 @@
 """Mixing of sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents are permuted by a seeded hash into blocks. Its target is met by taking every document
-floor(target / size) times, and the documents of the first blocks once more; the block in which the target falls is
-taken in part, document by document, to within a few words. That gives each source an exact quota of block copies.
-The tree then divides the quotas of all sources between the output shards: at each node, the left half's share of
-every source is one draw from the multivariate hypergeometric distribution, so that any shard is a sample of the
-whole mix without replacement. Leaves take disjoint runs of each source's permuted block copies, and documents are
-shuffled within their shard by a hash.
-
-The driver holds a row a source and at most ``2 * MOST_BLOCKS`` block copies a source, whatever the number of documents.
-
-Defined results: sources in code-point order with the null source last; a null text has size 0 and isn't taken;
-equal rows are taken one by one; an empty table gives an empty result; reruns agree.
+A source's documents are dealt by a seeded hash into blocks. Its target is met by copies of whole blocks and a part of
+one: every block floor(target / size) times, and the blocks of a permuted order once more until the words run out.
+That gives each source an exact quota of block copies. The tree divides the quotas of all sources between the output
+shards: at each node, the left half's share of every source is one draw from the multivariate hypergeometric
+distribution, so that any shard is a sample of the whole mix without replacement. Each leaf draws disjoint runs of
+every source's permuted block copies; a document is taken once for each draw of its block, and documents are shuffled
+within their shard by a hash.
+
+The block in which a target falls is split by further hashes until ``LAST_ROWS`` documents or fewer are left in
+question; of these the subset is taken whose words come nearest to what is missing.
+
+Driver and broadcasts hold a row a source and ``BLOCKS`` block rows besides, whatever the number of documents; beyond
+``BROADCAST`` rows they are joined by a shuffle instead.
+
+Defined results: sources in code-point order with the null source last; a null text or one without words has size 0
+and isn't taken; equal rows are taken one by one; texts of any length count whole; an empty table gives an empty
+result; columns may have any names; reruns agree, however the rows are partitioned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.session import written
+from loomgraph.llm.columns import Plain
+from loomgraph.session import ship, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 MOST_TIMES = 2
-MOST_BLOCKS = 1024
+#: Words of a shard, about, and the least number of shards.
+SHARD_WORDS = 1 << 26
+SHARDS = 64
+SEED = 17
+#: Blocks of all sources together, besides one a source, and the documents of a block where there are fewer.
+BLOCKS = 65_536
 DOCS_A_BLOCK = 64
+LAST_ROWS = 256
+BROADCAST = 250_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,81 +84,206 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_plan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
-    share: Fraction = SHARE, most: int = MOST_TIMES, shards: int = 64, seed: int = 17,
-) -> DataFrame:
-    """One row a row of ``docs``: id, text_hash, source, size, source_size, target, copies, taken, and the shards of the copies."""
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(_WORD)), F.lit(0)).cast("long")
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[source_col].cast("string").alias("source"), size.alias("size"))
-    rows = written(rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "text_hash")), "mix-sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in found]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most) if found else []
-    base = [int(g // s) if s else 0 for g, s in zip(goal, sizes, strict=True)]
-    extra = [int(round(g - b * s)) for g, b, s in zip(goal, base, sizes, strict=True)]
-    blocks = [max(1, min(MOST_BLOCKS, r["n"] // DOCS_A_BLOCK)) for r in found]
-    table = pd.DataFrame({
-        "of": pd.Series(range(len(found)), dtype="int32"), "source": pd.Series([r["source"] for r in found], dtype=object), "source_size": pd.Series(sizes, dtype="int64"),
-        "target": pd.Series([float(g) for g in goal], dtype="float64"), "base": pd.Series(base, dtype="int32"), "extra": pd.Series(extra, dtype="int64"), "blocks": pd.Series(blocks, dtype="int32"),
-    })
-    sources = spark.createDataFrame(table, "of int, source string, source_size long, target double, base int, extra long, blocks int")
-    placed = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("block", F.pmod("h", "blocks").cast("int"))
-
-    # of each source's blocks, those that lie before the extra words run out, and the one in which they do
-    each = placed.groupBy("of", "block").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("of").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = each.withColumn("left", F.col("extra") - before).where("left > 0").select("of", "block", "words", "left").collect()
-    state = {(r["of"], r["block"]): r["left"] for r in each if r["left"] < r["words"]}
-    whole = {(r["of"], r["block"]) for r in each if r["left"] >= r["words"]}
-
-    # block copies in a permuted order, dealt to the shards by the tree
-    copies = [[(b, c) for b in range(blocks[s]) for c in range(base[s] + ((s, b) in whole or (s, b) in state))] for s in range(len(found))]
-    quota = split_quotas([len(c) for c in copies], shards, seed) if found else np.zeros((shards, 0), np.int64)
-    dealt: dict[tuple[int, int], list[int]] = {(s, b): [] for s in range(len(found)) for b in range(blocks[s])}
-    for s, own in enumerate(copies):
-        order = np.random.default_rng([seed, s]).permutation(len(own))
-        for shard, i in zip(np.repeat(np.arange(shards), quota[:, s]).tolist(), order.tolist(), strict=True):
-            dealt[s, own[i][0]].append(shard)
-    listed = [(s, b, (s, b) in whole, state.get((s, b)), places) for (s, b), places in dealt.items()]
-    marks = spark.createDataFrame(listed, "of int, block int, whole boolean, left long, places array<int>")
-    placed = placed.join(marks, ["of", "block"])
-
-    # the block in which the target falls: a prefix, then the one document that comes closest to what is missing
-    partial = placed.where("left IS NOT NULL")
-    order = Window.partitionBy("of", "block").orderBy("h", "id", "text_hash")
-    partial = partial.withColumn("cum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("in", F.col("cum") <= F.col("left"))
-    gap = F.col("left") - F.coalesce(F.max(F.when(F.col("in"), F.col("cum"))).over(Window.partitionBy("of", "block")), F.lit(0))
-    partial = partial.withColumn("gap", gap).withColumn("off", F.when(~F.col("in"), F.abs(F.col("size") - F.col("gap"))))
-    nearest = F.row_number().over(Window.partitionBy("of", "block").orderBy(F.col("off").asc_nulls_last(), "h", "id", "text_hash"))
-    partial = partial.withColumn("more", F.col("in") | (F.col("off").isNotNull() & (nearest == 1) & (F.col("off") < F.col("gap"))))
-    settled = placed.where("left IS NULL").withColumn("more", F.col("whole"))
-    out = settled.unionByName(partial.select(*settled.columns))
-    out = out.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.col("more").cast("int")))
-    return out.select(
-        F.col("id").alias(id_col), "text_hash", F.col("source").alias("mix_source"), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.slice("places", F.lit(1), F.col("copies")).alias("shards"),
+def nearest_subset(sizes: list[int], counts: list[int], goal: int, most: int = 1 << 18) -> list[int]:
+    """How many of ``counts[i]`` things of ``sizes[i]`` to take for a sum nearest to goal, ties to the smaller sum.
+
+    Where more than ``most`` is missing, things in their order go first until no more is left; what remains is exact.
+    """
+    taken, left, at = [0] * len(sizes), goal, 0
+    while left > most and at < len(sizes):
+        if sizes[at]:
+            taken[at] = min(counts[at], left // sizes[at])
+            left -= taken[at] * sizes[at]
+        at += 1
+    reach, steps = 1, []  # bit s: a sum of s is reached
+    for i in range(at, len(sizes)):
+        n, chunk = min(counts[i], 2 * left // sizes[i]) if sizes[i] else 0, 1
+        while n:
+            k = min(n, chunk)
+            steps.append((i, k, reach))
+            reach |= (reach << k * sizes[i]) & (1 << 2 * left + 1) - 1
+            n, chunk = n - k, 2 * chunk
+    best = next((s for off in range(left + 1) for s in (left - off, left + off) if reach >> s & 1), 0)
+    for i, k, before in reversed(steps):
+        if not before >> best & 1:
+            taken[i] += k
+            best -= k * sizes[i]
+    return taken
+
+
+def _by(df: DataFrame, small: DataFrame, n: int, on: Column | list[str]) -> DataFrame:
+    """``df`` with the columns of ``small``, a table of n rows, which is broadcast up to BROADCAST rows."""
+    return df.join(F.broadcast(small) if n <= BROADCAST else small, on)
+
+
+def _table(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
+    kinds = {"int": "int32", "long": "int64", "double": "float64", "boolean": "bool"}
+    frame = pd.DataFrame({name: pd.Series(values, dtype=kinds.get(kind, object)) for name, (kind, values) in columns.items()})
+    return spark.createDataFrame(frame, ", ".join(f"{name} {kind}" for name, (kind, _) in columns.items()))
+
+
+class Draws:
+    """What the tree decides: the blocks of every source and the shards that draw them."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: Fraction, most: int, shards: int | None, seed: int) -> None:
+        self.spark, self.seed, self.names = docs.sparkSession, seed, (id_col, text_col, source_col)
+        ship(self.spark)
+        rows = written(self.keyed(docs, True).select("k_id", "k_text", "k_source", "k_size", "k_h"), "mix-sizes")
+        self.rows = rows
+        found = rows.groupBy("k_source").agg(F.sum("k_size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+        found.sort(key=lambda r: (r["k_source"] is None, r["k_source"] or ""))
+        sizes, count = [r["size"] for r in found], sum(r["n"] for r in found)
+        goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most) if found else []
+        base = [int(g // s) if s else 0 for g, s in zip(goal, sizes, strict=True)]
+        extra = [int(round(g - b * s)) for g, b, s in zip(goal, base, sizes, strict=True)]
+        shards = shards or min(BLOCKS // 8, max(SHARDS, int(share * sum(sizes)) // SHARD_WORDS))
+        blocks = [max(1, min(r["n"] // DOCS_A_BLOCK, BLOCKS * r["n"] // count)) for r in found]
+        self.n = len(found)
+        self.sources = _table(self.spark, {
+            "of": ("int", list(range(self.n))), "s": ("string", [r["k_source"] for r in found]), "source_size": ("long", sizes),
+            "target": ("double", [float(g) for g in goal]), "base": ("int", base), "blocks": ("int", blocks),
+        })
+
+        # a permuted order of each source's blocks; the extra words end within one of them
+        placed = self._placed(rows)
+        words = {(r["of"], r["block"]): r["w"] for r in placed.groupBy("of", "block").agg(F.sum("k_size").alias("w")).collect()}
+        whole: set[tuple[int, int]] = set()
+        part: dict[tuple[int, int], int] = {}  # block: words of it to take
+        for s in range(self.n):
+            self._walk([(s, b) for b in np.random.default_rng([seed, s, 1]).permutation(blocks[s]).tolist()], words, extra[s], whole, part)
+
+        # the tree: quotas of block copies, and each leaf's run of the permuted copies
+        copies = [[(b, c) for b in range(blocks[s]) for c in range(base[s] + ((s, b) in whole or (s, b) in part))] for s in range(self.n)]
+        self.quota = split_quotas([len(c) for c in copies], shards, seed) if found else np.zeros((shards, 0), np.int64)
+        places: dict[tuple[int, int], list[int]] = {(s, b): [] for s in range(self.n) for b in range(blocks[s])}
+        for s, own in enumerate(copies):
+            order, leaf = np.random.default_rng([seed, s]).permutation(len(own)).tolist(), np.repeat(np.arange(shards), self.quota[:, s]).tolist()
+            for shard, i in sorted(zip(leaf, order, strict=True), key=lambda x: x[1]):  # by copy
+                places[s, own[i][0]].append(shard)
+        keys = list(places)
+        self.n_marks = len(keys)
+        self.marks = _table(self.spark, {
+            "of": ("int", [s for s, _ in keys]), "block": ("int", [b for _, b in keys]), "open": ("boolean", [k in part for k in keys]), "places": ("array<int>", list(places.values())),
+        })
+        self.taken = self._partial(placed, part)
+
+    @staticmethod
+    def _walk(keys: list, words: dict, left: int, whole: set, part: dict) -> None:
+        """Keys in order until the words run out: those that are taken whole, and the one in which the words end."""
+        for key in keys:
+            own = words.get(key, 0)
+            if left <= 0:
+                return
+            if own <= left:
+                whole.add(key)
+            else:
+                part[key] = left
+            left -= own
+
+    def keyed(self, df: DataFrame, sized: bool = False) -> DataFrame:
+        """Rows with k_id, k_text, k_source, k_h and, on demand, k_size; k_any tells whether there are words."""
+        id_, text, source = (F.col(c) for c in self.names)
+        out = df.withColumns({"k_id": id_, "k_text": F.xxhash64(text), "k_source": source.cast("string")}).withColumn("k_h", F.xxhash64(F.lit(self.seed), "k_id", "k_text"))
+        return out.withColumn("k_size", F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")) if sized else out.withColumn("k_size", F.coalesce(text.rlike(_WORD), F.lit(False)).cast("long"))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        found = _by(rows, self.sources, self.n, F.col("k_source").eqNullSafe(F.col("s"))).drop("s")
+        return found.withColumn("block", F.pmod("k_h", "blocks").cast("int"))
+
+    def _partial(self, placed: DataFrame, part: dict[tuple[int, int], int]) -> DataFrame:
+        """of, k_h and the number of rows to take once more, in the blocks that are taken in part."""
+        asked = _table(self.spark, {"of": ("int", [s for s, _ in part]), "block": ("int", [b for _, b in part]), "left": ("long", list(part.values()))})
+        rows = written(_by(placed, asked, len(part), ["of", "block"]).where("k_size > 0").select("of", "k_h", "k_id", "k_text", "k_size", "left"), "mix-part")
+        kept, level = None, 0
+        while True:
+            sizes = rows.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k_h").alias("d"), F.first("left").alias("left"))
+            large = {r["of"]: r for r in sizes.where(f"n > {LAST_ROWS} AND d > 1").collect()}
+            if not large:
+                break
+            level += 1
+            finer = {of: max(2, min(BLOCKS, r["n"] // DOCS_A_BLOCK)) for of, r in large.items()}
+            few = _table(self.spark, {"of": ("int", list(finer)), "m": ("int", list(finer.values()))})
+            split = _by(rows, few, len(finer), ["of"]).withColumn("sub", F.pmod(F.xxhash64(F.lit(level), "k_h"), F.col("m")).cast("int"))
+            words: dict = {}
+            for r in split.groupBy("of", "sub").agg(F.sum("k_size").alias("w")).orderBy("of", "sub").collect():
+                words[r["of"], r["sub"]] = r["w"]
+            whole: set = set()
+            open_: dict = {}
+            own: dict = {}
+            for of, sub in sorted(words):
+                own.setdefault(of, []).append((of, sub))
+            for of, r in large.items():
+                self._walk(own[of], words, r["left"], whole, open_)
+            cuts = [(*k, True, 0) for k in whole] + [(*k, False, x) for k, x in open_.items()]
+            cuts = _table(self.spark, dict(zip(("of", "sub", "all", "rest"), zip(("int", "int", "boolean", "long"), map(list, zip(*cuts, strict=True)), strict=True), strict=True)))
+            settled = _by(split, cuts, self.n_marks, ["of", "sub"])
+            more = settled.where("all").groupBy("of", "k_h").agg(F.count(F.lit(1)).alias("n"))
+            kept = more if kept is None else kept.unionByName(more)
+            smaller = settled.where("NOT all").select("of", "k_h", "k_id", "k_text", "k_size", F.col("rest").alias("left"))
+            rest = rows.join(F.broadcast(few) if len(finer) <= BROADCAST else few, "of", "left_anti")
+            rows = written(smaller.unionByName(rest), "mix-part")
+        last = rows.groupBy("of", "k_h", "k_size").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left")).groupBy("of").applyInArrow(_nearest, "of int, k_h long, n long")
+        return written(last if kept is None else last.unionByName(kept), "mix-taken")
+
+    def drawn(self, df: DataFrame) -> DataFrame:
+        """Keyed rows with ``of``, the columns of their source, and ``shards``: one for each draw of the row."""
+        found = _by(self._placed(df), self.marks, self.n_marks, ["of", "block"])
+        none = F.array().cast("array<int>")
+        settled = found.where("NOT open").withColumn("shards", F.when(F.col("k_size") > 0, F.col("places")).otherwise(none))
+        again = found.where("open").join(self.taken.withColumnRenamed("n", "again"), ["of", "k_h"], "left")
+        nth = F.row_number().over(Window.partitionBy("of", "k_h").orderBy("k_id", "k_text"))
+        more = (F.coalesce("again", F.lit(0)) >= nth).cast("int")
+        again = again.withColumn("more", more).withColumn("shards", F.when(F.col("k_size") > 0, F.slice("places", F.lit(1), F.col("base") + F.col("more"))).otherwise(none))
+        return settled.unionByName(again.select(*settled.columns))
+
+
+def _nearest(table: pa.Table) -> pa.Table:
+    """Of the last rows in question of one source, those whose words come nearest to what is missing."""
+    order = np.argsort(table["k_h"].to_numpy(), kind="stable")
+    h, size, n = (table[c].to_numpy()[order] for c in ("k_h", "k_size", "n"))
+    take = nearest_subset(size.tolist(), n.tolist(), table["left"][0].as_py())
+    return pa.table({"of": pa.array([table["of"][0].as_py()] * len(h), pa.int32()), "k_h": h, "n": np.array(take, np.int64)})
+
+
+def _options(weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST_TIMES, shards: int | None = None, seed: int = SEED) -> Iterator[object]:
+    yield from (weights, share, most, shards, seed)
+
+
+def _place(copy: Column, seed: int) -> Column:
+    """By this a shard is sorted."""
+    return F.xxhash64(F.lit(seed + 1), "k_h", copy)
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """One row a row of ``docs``: id, text_hash, mix_source, size, source_size, target, and what the leaves of the tree drew: shards, their orders, copies and taken words."""
+    draws = Draws(docs, id_col, text_col, source_col, *_options(**options))
+    found = draws.drawn(draws.rows)
+    return found.select(
+        F.col("k_id").alias(id_col), F.col("k_text").alias("text_hash"), F.col("k_source").alias("mix_source"), F.col("k_size").alias("size"), "source_size", "target",
+        "shards", F.transform("shards", lambda _, i: _place(i, draws.seed)).alias("orders"), F.size("shards").alias("copies"),
+        F.aggregate("shards", F.lit(0).cast("long"), lambda sum_, _: sum_ + F.col("k_size")).alias("taken"),
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options: object) -> DataFrame:
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, options: dict) -> tuple[Plain, DataFrame, int]:
+    own = Plain(docs)
+    draws = Draws(own.df, *(own.name(c) for c in (id_col, text_col, source_col)), *_options(**options))
+    found = draws.drawn(draws.keyed(own.df)).select(*own.df.columns, "k_h", F.posexplode("shards").alias("copy", "shard"))
+    return own, found.withColumn("order", _place(F.col("copy"), draws.seed)).drop("k_h", "copy"), len(draws.quota)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """The mix itself: the columns of ``docs``, with ``mix_shard`` and ``mix_order`` (the place by which a shard is sorted)."""
-    plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), "shards")
-    marked = docs.withColumn("_own", F.xxhash64(docs[text_col]))
-    on = marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th"))
-    if not plan.groupBy("_id", "_th").count().where("count > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.size("shards")))
-        plan = plan.withColumn("_nth", nth)
-        marked = marked.withColumn("_row", F.row_number().over(Window.partitionBy(id_col, "_own").orderBy(id_col)))
-        on = on & (F.col("_row") == F.col("_nth"))
-    taken = marked.join(plan.where(F.size("shards") > 0), on)
-    dealt = taken.select(*docs.columns, F.posexplode("shards").alias("_copy", "mix_shard"))
-    return dealt.withColumn("mix_order", F.xxhash64(F.lit(seed + 1), id_col, "_copy")).drop("_copy")
+    own, found, _ = _mixed(docs, id_col, text_col, source_col, options)
+    return found.select(*own.back(), F.col("shard").alias("mix_shard"), F.col("order").alias("mix_order"))
+
+
+def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """The mix with the columns of ``docs``: a partition a shard, shuffled within."""
+    own, found, n = _mixed(docs, id_col, text_col, source_col, options)
+    return found.repartitionById(n, "shard").sortWithinPartitions("shard", "order").select(*own.back())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "shards", "orders")

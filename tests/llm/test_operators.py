@@ -356,7 +356,10 @@ def test_mixing_targets_reshare_what_is_over():
     assert sum(mixing.targets([7, 90, 11, 40], [5, 2, 1, 5])) == 222
 
 
-def test_mixing(spark, empty):
+@pytest.mark.parametrize("last", [256, 4])
+def test_mixing(spark, empty, monkeypatch, last):
+    monkeypatch.setattr(mixing, "LAST_ROWS", last)  # 4: blocks are split further
+    monkeypatch.setattr(mixing, "DOCS_A_BLOCK", 64 if last > 4 else 5)
     rng = random.Random(9)
     rows = [(i, sentence(i, rng.randrange(1, 60)), rng.choice(["a", "b", "é", "z", None])) for i in range(400)] + [(900, None, "a"), (901, "", "q"), (None, "x y", "a"), (3, "x y", "a"), (3, "x y", "a")]
     df = docs(spark, rows)
@@ -371,17 +374,45 @@ def test_mixing(spark, empty):
         assert r.source_size == sizes[r.mix_source]
         assert r.target == pytest.approx(float(goals[r.mix_source]))
         assert r.taken == r.copies * r["size"] <= 2 * r["size"]
-        assert len(r.shards) == r.copies
+        assert len(r.shards) == len(r.orders) == r.copies
         taken[r.mix_source] += r.taken
-    assert all(abs(taken[s] - goals[s]) <= 10 for s in names)
+    assert all(abs(taken[s] - goals[s]) <= (1 if last > 4 else 30) for s in names)
+    assert len({s for r in found for s in r.shards}) == 8
     again = mixing.mix_plan(df.repartition(5), shards=8).collect()
-    assert Counter((r.doc_id, r.text_hash, r.taken) for r in found) == Counter((r.doc_id, r.text_hash, r.taken) for r in again)
+    key = lambda r: (r.doc_id, r.text_hash, r.taken, tuple(r.shards), tuple(r.orders))
+    assert Counter(map(key, found)) == Counter(map(key, again))
+    # the mix deals each document to the shards of its draws, in the order of the plan
     mix = mixing.mixed(df, shards=8)
-    assert Counter(r.doc_id for r in mix.collect()) == sum((Counter({r.doc_id: r.copies}) for r in found), Counter())
+    assert mix.columns == [*df.columns, "mix_shard", "mix_order"]
+    assert Counter((r.doc_id, r.mix_shard, r.mix_order) for r in mix.collect()) == Counter((r.doc_id, s, o) for r in found for s, o in zip(r.shards, r.orders, strict=True))
+    assert {tuple(r.shards) for r in found} != {tuple(r.shards) for r in mixing.mix_plan(df, shards=3).collect()}
     assert mixing.mix_plan(empty).count() == 0
     assert mixing.mixed(empty).count() == 0
 
 
+def test_leaves_draw_disjoint_blocks_of_exact_quotas(spark):
+    df = docs(spark, [(i, sentence(i, 5 + i % 40), "abc"[i % 3]) for i in range(900)])
+    draws = mixing.Draws(df, "doc_id", "text", "source", *mixing._options(shards=5))
+    marks = draws.marks.collect()
+    for s in range(draws.n):
+        per_shard = Counter(p for m in marks if m.of == s for p in m.places)
+        assert [per_shard[i] for i in range(5)] == draws.quota[:, s].tolist()
+        copies = {len(m.places) for m in marks if m.of == s}
+        assert max(copies) - min(copies) <= 1
+
+
+def test_nearest_subset_is_that_of_all_subsets():
+    rng = random.Random(1)
+    for _ in range(300):
+        sizes, goal = [rng.randrange(0, 30) for _ in range(rng.randrange(0, 6))], rng.randrange(0, 100)
+        counts = [rng.randrange(1, 4) for _ in sizes]
+        got = mixing.nearest_subset(sizes, counts, goal)
+        assert all(0 <= k <= n for k, n in zip(got, counts, strict=True))
+        every = [sum(k * s for k, s in zip(ks, sizes, strict=True)) for ks in np.ndindex(*(n + 1 for n in counts))] if sizes else [0]
+        assert abs(goal - sum(k * s for k, s in zip(got, sizes, strict=True))) == min(abs(goal - x) for x in every)
+    assert mixing.nearest_subset([3], [10**9], 10**9)[0] in (333333333, 333333334)
+
+
 def test_splitting_tree_keeps_quotas():
     out = mixing.split_quotas([100, 37, 0, 5], 7, 1)
     assert out.sum(axis=0).tolist() == [100, 37, 0, 5]
