@@ -7,13 +7,10 @@ next stage's ``docs``. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup, jaccard_join, mixing, ordinal_quality, packing
 from loomgraph.session import written
 
-SHARDS = 64
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the cumulative-link model rates above the lowest grade more likely than not."""
@@ -33,8 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights: documents not drawn go, those drawn twice appear twice, shuffled within shards."""
-    dealt = mixing.mixed(docs, shards=SHARDS)
-    return dealt.repartitionById(SHARDS, "mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(*docs.columns)
+    return mixing.shuffled(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
