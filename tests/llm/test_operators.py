@@ -97,6 +97,17 @@ def test_exact_dedup(table, rows, empty):
     assert Counter(lower(r.text) for r in kept.collect()) == Counter({lower(t) for _, t, _ in rows})
 
 
+def test_one_row_of_each_group_stays(spark, monkeypatch):
+    rows = [(12, "Dup row", "b"), (12, "dup row", "a"), (13, None, "x"), (13, "", "x"), (11, "dup ROW", "z"), (None, "only null", "n"), (None, "ONLY null", "m")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, _sha_own int").toDF("doc_id", "text", "own_sha", "stay_id")
+    for hot in (2000, 0):  # 0: every class is broadcast
+        monkeypatch.setattr(exact_dedup, "LEAST_HOT", hot)
+        kept = exact_dedup.deduplicated(df.repartition(3))
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(12, "Dup row", "b", 1), (13, "", "x", 1), (None, "ONLY null", "m", 1)], key=str)
+        check_groups(exact_dedup.exact_dedup(df).collect(), rows)
+
+
 def test_exact_dedup_compares_contents_where_digests_agree(spark):
     pairs = [(i, t, None) for i, t in enumerate(["aa", "bb", "AA", "c", "bb", "dd"])]
     weak = lambda c: F.length(c).cast("string")
