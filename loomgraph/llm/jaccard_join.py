@@ -3,23 +3,26 @@
 Rows with equal sets form a class first; what follows works on classes. Two sets of similarity t or more share a
 token among the first n - ceil(t * n) + 1 of each under any global order of tokens, so the filters intersect:
 
-* order A, by the exact counts of a sketch of document frequencies and then by hash, makes the candidates. Sets meet in the bucket of
-  a prefix token, subject to the length filter and the positional filter;
-* orders B and C, by the counts' rough logarithm and two other hashes, must each find a common prefix token too,
-  before the full sets of a candidate are intersected.
+* order A, by the exact counts of a sketch of document frequencies and then by hash, makes the candidates. Sets meet in
+  the bucket of a prefix token, subject to the length filter and the positional filter;
+* orders B and C, by the counts' rough logarithm and two other hashes, must each find a common prefix token too. The
+  prefixes of all three orders come from one pass over the texts; those of B and C, 32 bits a token, decide before any
+  full set is made: sets exist only for candidates that all three orders let pass, and are then intersected.
 
-No bucket is expanded into pairs. In each bucket, every set is matched with the bucket's pivot (the set in which the
-token stands first). Verified links make components, and only sets of one bucket in different components are then
-matched with each other: pairs inside a component can't change the result. The orders and the sketch decide how much
-work there is, never which links are found.
+In each bucket, every set is matched with the bucket's pivot (the set in which the token stands first). Verified links
+make components, and of what is left only sets of one bucket in different components and of similar length are matched
+with each other: pairs inside a component can't change the result. Pivots and tokens of many sets are dealt over many
+tasks (``skew``). The orders and the sketch decide how much work there is, never which links are found.
 
 Defined results: nulls and texts without words have no set and are linked with nothing; texts of fewer words than an
-n-gram have their whole word sequence as the only element; rows with equal ids but different texts are sets of
-their own; a component has the smallest id in it, null only if all are; other columns are ignored.
+n-gram have their whole word sequence as the only element; texts of any length are read whole, each by one task; rows
+with equal ids but different texts are sets of their own; a component has the smallest id in it, null only if all are;
+an empty table gives an empty result; further columns may have any names and are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm import skew
 from loomgraph.llm import textscan as ts
+from loomgraph.llm.columns import Plain
 from loomgraph.session import release, ship, written
 
 U = np.uint64
@@ -67,10 +72,11 @@ def _cells(value: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << CELL_BITS, np.uint32)
+        seen = np.zeros(1 << CELL_BITS, np.uint16)  # counts end at 65535
         for batch in batches:
             for _, _, data, offs in ts.chunks(batch.column(0)):
-                np.add.at(seen, _cells(shingles(data, offs, size, seed)[1]), 1)
+                cell, n = np.unique(_cells(shingles(data, offs, size, seed)[1]), return_counts=True)
+                seen[cell] = np.minimum(seen[cell] + n, 65535)
         part = TaskContext.get().partitionId() % 32
         for segment, own in enumerate(seen.reshape(-1, 1 << _SEGMENT_BITS)):
             if own.any():
@@ -126,8 +132,23 @@ def _prefix(value: np.ndarray, level: np.ndarray, order: int, p: int) -> np.ndar
     return value[np.argsort(key)]
 
 
-def _sets(size: int, seed: int, num: int, den: int, sketch, full: bool):
-    """With ``full``: class, set, and which of it are prefix tokens under B and C; else id, class, check, n and the prefix under A."""
+def _marks(value: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit names of each row's set."""
+    ends = np.cumsum(n)
+    sums = [np.concatenate(([U(0)], np.cumsum(ts.mixed(value ^ s), dtype=U))) for s in _SALTS[:2]]
+    return [ts.mixed(x[ends] - x[ends - n] + n.astype(U)).view(np.int64) for x in sums]
+
+
+def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
+    at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, kind), *parts])))
+
+
+_PREFIXES = "id long, text_hash long, cid long, mark long, n long, pa array<long>, pb array<int>, pc array<int>"
+
+
+def _prefixes(size: int, seed: int, num: int, den: int, sketch):
+    """Name, size and the prefixes under all orders of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(sketch.value, np.uint8)
@@ -135,21 +156,25 @@ def _sets(size: int, seed: int, num: int, den: int, sketch, full: bool):
             for lo, hi, data, offs in ts.chunks(batch.column(1)):
                 row, value = shingles(data, offs, size, seed)
                 n = ts.per_row(row, hi - lo)
-                ends = np.cumsum(n)
-                sums = [np.concatenate(([U(0)], np.cumsum(ts.mixed(value ^ s), dtype=U))) for s in _SALTS[:2]]
-                marks = [ts.mixed(x[ends] - x[ends - n] + n.astype(U)).view(np.int64) for x in sums]
-                level = cells[_cells(value)]
-                own = [(value[e - k : e], level[e - k : e], prefix_length(int(k), num, den) if k else 0) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                if full:
-                    rows = [(_short(v), *(_flags(v, _prefix(v, c, k, p)) for k in (1, 2))) for v, c, p in own]
-                    columns = [pa.array(marks[0]), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3))]
-                    yield pa.RecordBatch.from_arrays(columns, ["cid", "full", "pb", "pc"])
-                else:
-                    first = [_prefix(v, c, 0, p) if p else v for v, c, p in own]
-                    at = np.cumsum([0, *map(len, first)]).astype(np.int32)
-                    flat = np.concatenate([np.zeros(0, U), *first]).view(np.int64)
-                    prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(marks[0]), pa.array(marks[1]), pa.array(n), prefix], ["id", "text_hash", "cid", "mark", "n", "prefix"])
+                marks, level = _marks(value, n), cells[_cells(value)]
+                own = [(value[e - k : e], level[e - k : e], prefix_length(int(k), num, den)) for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+                first = [[_prefix(v, c, order, p) if len(v) else v for v, c, p in own] for order in range(3)]
+                lists = [_lists([x.view(np.int64) for x in first[0]], np.int64), *(_lists([(x >> U(32)).astype(np.uint32).view(np.int32) for x in parts], np.int32) for parts in first[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(marks[0]), pa.array(marks[1]), pa.array(n), *lists], ["id", "text_hash", "cid", "mark", "n", "pa", "pb", "pc"])
+
+    return run
+
+
+def _sets(size: int, seed: int):
+    """Name and set of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in ts.chunks(batch.column(1)):
+                row, value = shingles(data, offs, size, seed)
+                n = ts.per_row(row, hi - lo)
+                full = [_short(value[e - k : e]) for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_marks(value, n)[0]), pa.array(full, pa.binary())], ["cid", "full"])
 
     return run
 
@@ -160,29 +185,21 @@ def _short(value: np.ndarray) -> bytes:
 
 
 def _long(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    flat = np.frombuffer(raw, np.uint8)
+    wide = np.zeros((len(flat) // 6, 8), np.uint8)
+    wide[:, 2:] = flat.reshape(-1, 6)
     return wide.view(U).ravel()
 
 
-def _flags(value: np.ndarray, some: np.ndarray) -> bytes:
-    return np.packbits(np.isin(value, some, assume_unique=True)).tobytes()
-
-
-def _flagged(value: np.ndarray, flags: bytes) -> np.ndarray:
-    return value[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(value)).astype(bool)]
-
-
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, *parts = batch.columns
             keep = np.zeros(len(batch), bool)
-            for i, (fa, ba, ca, fb, bb, cb) in enumerate(zip(*(c.to_pylist() for c in parts), strict=True)):
-                x, y = _long(fa), _long(fb)
-                if _common(_flagged(x, ba), _flagged(y, bb)) and _common(_flagged(x, ca), _flagged(y, cb)):
-                    both = _common(x, y)
-                    keep[i] = den * both >= num * (len(x) + len(y) - both)
+            for i, (one, two) in enumerate(zip(*parts, strict=True)):
+                x, y = _long(one.as_buffer()), _long(two.as_buffer())
+                both = _common(x, y)
+                keep[i] = den * both >= num * (len(x) + len(y) - both)
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
@@ -223,12 +240,27 @@ def _filtered(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(long_enough & (room * (num + den) >= (F.col("n1") + F.col("n2")) * num))
 
 
+def _both_sides(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+    """a and b with columns of ``table`` (by cid) for a, ending in 1, and for b, ending in 2; ids of many pairs are dealt out."""
+    out = pairs.select("a", "b")
+    total = out.count()
+    for side, other, k in (("a", "b", 1), ("b", "a", 2)):
+        own = table.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}{k}") for c in names))
+        out = skew.join_salted(out, own, side, other, skew.hot_keys(pairs, side, total))
+    return out
+
+
+def _passing(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs that share a prefix token under orders B and C too."""
+    asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    own = marked.where("n > 0").select("cid", "pb", "pc").join(asked, "cid", "left_semi").groupBy("cid").agg(F.first("pb").alias("pb"), F.first("pc").alias("pc"))
+    both = _both_sides(pairs, own, ["pb", "pc"])
+    return both.where(F.arrays_overlap("pb1", "pb2") & F.arrays_overlap("pc1", "pc2")).select("a", "b")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a: the one of many, b: its pivot) whose sets are similar."""
-    one = sets.select(F.col("cid").alias("a"), F.col("full").alias("fa"), F.col("pb").alias("ba"), F.col("pc").alias("ca"))
-    two = sets.select(F.col("cid").alias("b"), F.col("full").alias("fb"), F.col("pb").alias("bb"), F.col("pc").alias("cb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "ba", "ca", "fb", "bb", "cb")
-    return joined.mapInArrow(_verified(num, den), "a long, b long")
+    """The pairs whose sets are similar."""
+    return _both_sides(pairs, sets, ["full"]).select("a", "b", "full1", "full2").mapInArrow(_verified(num, den), "a long, b long")
 
 
 def jaccard_join(
@@ -240,18 +272,20 @@ def jaccard_join(
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
     sketch = spark.sparkContext.broadcast(frequency_sketch(rows, size, seed).tobytes())
     release(spark)
-    marked = written(rows.mapInArrow(_sets(size, seed, num, den, sketch, False), "id long, text_hash long, cid long, mark long, n long, prefix array<long>"), "join-prefixes")
+    marked = written(rows.mapInArrow(_prefixes(size, seed, num, den, sketch), _PREFIXES), "join-prefixes")
     held = marked.where("n > 0")
     classes = written(held.groupBy("cid").agg(F.min("id").alias("least"), F.min("mark").alias("m1"), F.max("mark").alias("m2")), "join-classes")
     if not classes.where("m1 <> m2").isEmpty():  # two sets with one 64-bit class id
         return jaccard_join(docs, size, num, den, id_col, text_col, seed + 1)
 
-    one_each = held.groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    one_each = held.groupBy("cid").agg(F.first("n").alias("n"), F.first("pa").alias("prefix"))
     postings = one_each.select("cid", F.posexplode("prefix").alias("pos", "token"), "n")
     postings = postings.select("token", "cid", (F.col("pos").cast("long") * (1 << 32) + F.col("n")).alias("key"))
-    pivots = postings.groupBy("token").agg(F.min_by("cid", "key").alias("pivot"), F.min("key").alias("pkey"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    shared = written(postings.join(pivots, "token"), "join-shared")
-    del one_each, postings, pivots
+    pivots = written(postings.groupBy("token").agg(F.min_by("cid", "key").alias("pivot"), F.min("key").alias("pkey"), F.count(F.lit(1)).alias("n")).where("n > 1"), "join-pivots")
+    total = pivots.agg(F.sum("n")).first()[0] or 0
+    often = pivots.where(F.col("n") >= max(skew.LEAST_HOT, -(-total // skew.MOST_HOT))).select("token", "n")
+    shared = written(skew.join_salted(postings, pivots.drop("n"), "token", "cid", often), "join-shared")
+    del one_each, postings
     release(spark)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -259,31 +293,36 @@ def jaccard_join(
         ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
         reps = ids.join(classes, "cid").select(F.col("least").alias("rep")).distinct()
         texts = rows.select("id", "text").join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-        made = written(texts.mapInArrow(_sets(size, seed, num, den, sketch, True), "cid long, full binary, pb binary, pc binary"), "join-sets")
+        made = written(texts.mapInArrow(_sets(size, seed), "cid long, full binary"), "join-sets")
         release(spark)
         twice = made.groupBy("cid").count().where("count > 1")
         return made if twice.isEmpty() else made.dropDuplicates(["cid"])  # ids that repeat with other texts
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = written(_passing(pairs, marked), "join-passing")
+        release(spark)
+        links = written(_links(left, sets_of(left), num, den), "join-links")
+        release(spark)
+        return links
+
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
     stars = shared.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"), low("key").alias("n1"), F.shiftright("key", 32).alias("i1"), low("pkey").alias("n2"), F.shiftright("pkey", 32).alias("i2"))
     tried = written(_filtered(stars, num, den).select("a", "b").distinct(), "join-tried")
-    links = written(_links(tried, sets_of(tried), num, den), "join-links")
-    release(spark)
+    links = linked(tried)
     labels = components(links)
 
-    # in each bucket, sets that are still in different components
+    # in each bucket, sets of similar length (in one band or neighbouring ones, a little wider than den / num) that are still in different components
     named = shared.select("token", "cid", "key").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn("l", F.coalesce("l", "cid"))
     named = written(named, "join-named")
-    mixed = named.groupBy("token").agg(F.min("l").alias("l1"), F.max("l").alias("l2")).where("l1 < l2").select("token")
-    open_ = named.join(mixed, "token")
-    x = open_.select("token", F.col("cid").alias("a"), F.col("l").alias("la"), low("key").alias("n1"), F.shiftright("key", 32).alias("i1"))
-    y = open_.select("token", F.col("cid").alias("b"), F.col("l").alias("lb"), low("key").alias("n2"), F.shiftright("key", 32).alias("i2"))
-    rest = _filtered(x.join(y, "token").where("la < lb"), num, den).select("a", "b").distinct()
+    several = named.groupBy("token").agg(F.min("l").alias("l1"), F.max("l").alias("l2")).where("l1 < l2").select("token")
+    open_ = named.join(several, "token").withColumn("band", F.floor(F.log(low("key")) / F.lit(1.000001 * math.log(den / num))).cast("int") if num < den else low("key"))
+    x = open_.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("cid").alias("a"), F.col("l").alias("la"), low("key").alias("n1"), F.shiftright("key", 32).alias("i1"))
+    y = open_.select("token", "band", F.col("cid").alias("b"), F.col("l").alias("lb"), low("key").alias("n2"), F.shiftright("key", 32).alias("i2"))
+    rest = _filtered(x.join(y, ["token", "band"]).where("la < lb"), num, den).select("a", "b").distinct()
     known = tried.select("a", "b").union(tried.select(F.col("b"), F.col("a")))
     rest = written(rest.join(known, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
-        more = written(_links(rest, sets_of(rest), num, den), "join-links")
-        release(spark)
+        more = linked(rest)
         if not more.isEmpty():
             labels = components(links.union(more))
     release(spark)
@@ -299,17 +338,19 @@ def jaccard_join(
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, one each, and all rows without a set."""
-    found = jaccard_join(docs, size, num, den, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("component").alias("_c"))
+    own = Plain(docs)
+    id_, text = own.name(id_col), own.name(text_col)
+    found = jaccard_join(own.df, size, num, den, id_, text).select(F.col(id_).alias("k_id"), F.col("text_hash").alias("k_text"), F.col("component").alias("k"))
     found = written(found, "join-found")
-    last = F.coalesce("_id", F.lit(2**63 - 1))
-    best = found.where("_c IS NOT NULL").groupBy("_c").agg(F.min(F.struct(last.alias("k"), "_th", "_id")).alias("b")).select("b._id", "b._th")
-    best = best.union(found.where("_c IS NULL").select("_id", "_th"))
-    marked = docs.withColumn("_own", F.xxhash64(docs[text_col]))
-    stay = marked.join(best, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left_semi").drop("_own")
-    if found.where("_c IS NOT NULL").groupBy("_id", "_th").count().where("count > 1").isEmpty():
-        return stay
-    held = F.length(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), r"[\x20\x09-\x0D]", "")) > 0
-    return stay.where(held).dropDuplicates([id_col, text_col]).unionByName(stay.where(~held))
+    last = F.coalesce("k_id", F.lit(2**63 - 1))
+    best = found.where("k IS NOT NULL").groupBy("k").agg(F.min(F.struct(last.alias("at"), "k_text", "k_id")).alias("one")).select("one.k_id", "one.k_text")
+    best = best.union(found.where("k IS NULL").select("k_id", "k_text"))
+    marked = own.df.withColumn("own_text", F.xxhash64(text))
+    stay = marked.join(best, F.col(id_).cast("long").eqNullSafe(F.col("k_id")) & (F.col("own_text") == F.col("k_text")), "left_semi").select(*own.df.columns)
+    if not found.where("k IS NOT NULL").groupBy("k_id", "k_text").count().where("count > 1").isEmpty():  # equal rows
+        held = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        stay = stay.where(held).dropDuplicates([id_, text]).unionByName(stay.where(~held))
+    return stay.select(*own.back())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
