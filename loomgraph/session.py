@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -44,10 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):  # Python's references to plans go first, then those of the JVM
-        gc.collect()
-        time.sleep(0.2)
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark's cleaner acts on plans that the JVM has collected. Python's references go first; the JVM hears of that when
+    it is next called, so its collection is asked for twice.
+    """
+    gc.collect()
+    for _ in range(2):
         spark.sparkContext._jvm.System.gc()
 
 
