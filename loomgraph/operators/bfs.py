@@ -2,54 +2,88 @@
 
 A level joins the frontier with the arcs, keeps the least parent of each (run, vertex) and drops what was reached
 before. Arcs stay partitioned by source, so each level moves only the frontier and its discoveries; the map side of
-the aggregation already merges duplicates. Each level's discoveries are a table in the shared folder, which cuts the
-lineage and survives lost executors; the driver only sees their number.
+the aggregation already merges duplicates. Arcs of a hub are dealt over several tasks, and its place in the frontier
+with them.
+
+On symmetric arcs a neighbour of level d lies in level d - 1, d or d + 1, so a level's discoveries are compared with
+two levels, never with all that was reached. Whether arcs are symmetric is told by sums of hashes over both
+directions, in the pass that partitions them; directed graphs compare with all levels.
+
+Each level's discoveries are a table in the shared folder, which cuts the lineage and survives lost executors; the
+driver only sees their number.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import hot_keys
 from loomgraph.session import scratch
 
 _COMPACT = 16
 
 
-def bfs(arcs: DataFrame, roots: DataFrame, partitions: int | None = None, max_levels: int | None = None) -> DataFrame:
+def is_symmetric(arcs: DataFrame) -> bool:
+    """Whether arcs and their reverses are the same multiset, by sums of 64-bit hashes."""
+    one, two = arcs.agg(*(F.sum(F.xxhash64(a, b).cast("decimal(20,0)")) for a, b in (("src", "dst"), ("dst", "src")))).first()
+    return one == two
+
+
+def bfs(arcs: DataFrame, roots: DataFrame, partitions: int | None = None, max_levels: int | None = None, symmetric: bool | None = None) -> DataFrame:
     """run, v, d and parent of every reached vertex; a root is its own parent.
 
     The parent is the smallest neighbour one level nearer, so the result doesn't depend on how data are partitioned.
+    symmetric: None to find out.
     """
     spark = arcs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = arcs.select("src", "dst").repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    hubs = hot_keys(arcs, "src").select("src", F.ceil(F.col("n") / F.lit(1000)).cast("int").alias("parts")).cache()  # a bounded number
+    has_hubs = not hubs.isEmpty()
+    plain = arcs.select("src", "dst")
+    if has_hubs:
+        dealt = plain.join(F.broadcast(hubs), "src", "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int"))
+        held = dealt.select("src", "salt", "dst").repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        held = plain.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    if symmetric is None:
+        symmetric = is_symmetric(held)
     top = scratch(spark, "bfs")
     reached = [f"{top}/level-0"]
     roots.select(F.col("run").cast("int").alias("run"), F.col("source").alias("v"), F.lit(0).alias("d"), F.col("source").alias("parent")).distinct().write.parquet(reached[0])
-    frontier, level = spark.read.parquet(reached[0]), 0
+    frontier, level, last = spark.read.parquet(reached[0]), 0, [reached[0]]
     schema = frontier.schema
     while max_levels is None or level < max_levels:
         level += 1
-        found = held.join(frontier.select("run", "v"), F.col("v") == F.col("src")).groupBy("run", F.col("dst").alias("v")).agg(F.min("src").alias("parent"))
-        seen = spark.read.schema(schema).parquet(*reached).select("run", "v")
-        new = found.join(seen, ["run", "v"], "left_anti").select("run", "v", F.lit(level).alias("d"), "parent")
+        found = _neighbours(frontier.select("run", "v"), held, hubs if has_hubs else None).groupBy("run", F.col("dst").alias("v")).agg(F.min("src").alias("parent"))
+        seen = spark.read.schema(schema).parquet(*(last if symmetric else reached)).select("run", "v")
+        new, count = found.join(seen, ["run", "v"], "left_anti").select("run", "v", F.lit(level).alias("d"), "parent"), Observation()
         path = f"{top}/level-{level}"
-        new.write.parquet(path)
-        frontier = spark.read.schema(schema).parquet(path)
-        if frontier.isEmpty():
+        new.observe(count, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        if not count.get["n"]:
             break
+        frontier = spark.read.schema(schema).parquet(path)
         reached.append(path)
-        if len(reached) >= _COMPACT:
+        last = [*last, path][-2:]
+        if len(reached) >= _COMPACT and not symmetric:
             whole = f"{top}/upto-{level}"
             spark.read.schema(schema).parquet(*reached).write.parquet(whole)
             reached = [whole]
     held.unpersist()
+    hubs.unpersist()
     return spark.read.schema(schema).parquet(*reached)
 
 
-def bfs_from(arcs: DataFrame, source: int, **options: int) -> DataFrame:
+def _neighbours(frontier: DataFrame, held: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    if hubs is None:
+        return held.join(frontier, F.col("v") == F.col("src"))
+    dealt = frontier.join(F.broadcast(hubs.withColumnRenamed("src", "v")), "v", "left")
+    dealt = dealt.select("run", F.col("v").alias("src"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    return held.join(dealt, ["src", "salt"])
+
+
+def bfs_from(arcs: DataFrame, source: int, **options: int | None) -> DataFrame:
     """v, d and parent of what ``source`` reaches."""
     roots = arcs.sparkSession.createDataFrame([(0, source)], "run int, source long")
     return bfs(arcs, roots, **options).drop("run")
@@ -67,8 +101,8 @@ def level_profile(tree: DataFrame, degrees: DataFrame) -> DataFrame:
     return sized.groupBy("d").agg(F.count(F.lit(1)).alias("frontier_size"), F.sum(F.coalesce("degree", F.lit(0))).alias("scanned_arcs"))
 
 
-def bitset_words(ids: DataFrame) -> DataFrame:
-    """A set of ids as 64-bit words: word w holds the ids 64 * w to 64 * w + 63."""
+def bitset_words(ids: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A set of ids, or one for each ``by``, as 64-bit words: word w holds the ids 64 * w to 64 * w + 63."""
     word = F.expr("v div 64")
     bit = F.expr("shiftleft(1L, int(v % 64))")
-    return ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return ids.select(*(by or []), word.alias("word"), bit.alias("bit")).groupBy(*(by or []), "word").agg(F.bit_or("bit").alias("bits"))

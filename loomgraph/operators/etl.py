@@ -14,6 +14,11 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(both).alias("arc")).select("arc.src", "arc.dst")
 
 
+def directed_arcs(edges: DataFrame, directed: int) -> DataFrame:
+    """Arcs of an edge list: as they are where its file holds both directions (1), else both ways (0)."""
+    return edges.select("src", "dst") if directed else symmetrize(edges)
+
+
 def vertices(arcs: DataFrame) -> DataFrame:
     return arcs.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def owner(v: Column, n: int, p: int) -> Column:
-    return F.floor(v / F.lit(-(-n // p))).cast("long")
+    return F.call_function("div", v, F.lit(max(1, -(-n // p))).cast("long"))  # in whole numbers
 
 
 def message_matrix(arcs: DataFrame, n: int, p: int) -> DataFrame:
@@ -32,11 +32,14 @@ def misrouted(arcs: DataFrame, routed_to: Column, n: int, p: int) -> DataFrame:
     return arcs.where(routed_to != owner(F.col("dst"), n, p)).agg(F.count(F.lit(1)).alias("misrouted"))
 
 
-def traversed_by_rank(tree: DataFrame, degrees: DataFrame, n: int, p: int) -> DataFrame:
-    """Twice the arcs out of a rank's reached vertices; ranks that reach nothing have 0."""
-    own = tree.join(degrees, "v").groupBy(owner(F.col("v"), n, p).alias("rank")).agg(F.sum("degree").alias("k"))
+def traversed_by_rank(tree: DataFrame, degrees: DataFrame, n: int, p: int, runs: DataFrame | None = None) -> DataFrame:
+    """Twice the arcs out of a rank's reached vertices, for each of ``runs`` if given; ranks that reach nothing have 0."""
+    keys = ["rank"] if runs is None else ["run", "rank"]
+    own = tree.join(degrees, "v").withColumn("rank", owner(F.col("v"), n, p)).groupBy(*keys).agg(F.sum("degree").alias("k"))
     ranks = tree.sparkSession.range(p).select(F.col("id").alias("rank"))
-    return ranks.join(own, "rank", "left").select("rank", (2 * F.coalesce("k", F.lit(0))).cast("long").alias("traversed"))
+    if runs is not None:  # a row a run and rank
+        ranks = runs.select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long"))).alias("rank"))
+    return ranks.join(own, keys, "left").select(*keys, (2 * F.coalesce("k", F.lit(0))).cast("long").alias("traversed"))
 
 
 def imbalance(local: DataFrame, by: list[str] | None = None, column: str = "traversed") -> DataFrame:

@@ -53,3 +53,18 @@ def summary(tree: DataFrame, arcs: DataFrame, source: int, vertices: DataFrame)
         one = df.agg(F.count(F.lit(1)).alias("errors")).select(F.lit(name).alias("check_name"), "errors")
         out = one if out is None else out.union(one)
     return out
+
+
+def errors_by_run(trees: DataFrame, arcs: DataFrame, roots: DataFrame) -> DataFrame:
+    """run and errors of trees (run, v, d, parent) of many runs: rows that fail a check, 0 for a run without."""
+    own = trees.join(roots.select("run", "source"), "run")
+    wrong_root = own.where((F.col("v") == F.col("source")) & ((F.col("parent") != F.col("v")) | (F.col("d") != 0))).select("run")
+    missing = roots.join(trees.select("run", F.col("v").alias("source")), ["run", "source"], "left_anti").select("run")
+    others = own.where(F.col("v") != F.col("source")).select("run", "v", "d", "parent")
+    up = trees.select("run", F.col("v").alias("parent"), F.col("d").alias("parent_d"))
+    checked = others.join(up, ["run", "parent"], "left")
+    wrong_level = checked.where(F.col("parent_d").isNull() | (F.col("d") != F.col("parent_d") + 1)).select("run")
+    steps = arcs.select(F.col("src").alias("parent"), F.col("dst").alias("v")).distinct()
+    no_arc = others.join(steps, ["parent", "v"], "left_anti").select("run")
+    found = wrong_root.unionAll(missing).unionAll(wrong_level).unionAll(no_arc).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return roots.select("run").join(found, "run", "left").select("run", F.coalesce("n", F.lit(0)).cast("long").alias("errors"))

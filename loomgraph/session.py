@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return own.rstrip("/")
     got = spark.sparkContext.getCheckpointDir()
     if got is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
         got = spark.sparkContext.getCheckpointDir()
     return got.rstrip("/")

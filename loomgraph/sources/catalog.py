@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 CATALOG = {"com-dblp": 0, "com-lj.ungraph": 0, "as-skitter": 0, "com-orkut": 0}
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CATALOG.items()), "graph string, directed int")
+def catalog(spark: SparkSession, more: dict[str, int] | None = None) -> DataFrame:
+    """The public graphs and those of ``more``, which come first."""
+    return spark.createDataFrame(list((CATALOG | (more or {})).items()), "graph string, directed int")
 
 
 def directed_flag(names: DataFrame, known: DataFrame) -> DataFrame:

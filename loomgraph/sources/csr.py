@@ -7,24 +7,31 @@ partition reads the header, its slice of row_ptr and its slice of col_idx.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.operators import etl
 from loomgraph.schema import EDGES
-from loomgraph.session import ship
+from loomgraph.session import scratch, ship
 
 HEAD = struct.Struct("<IQ")
 STEP = 1 << 20
 
 
+def _located(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def _open(path: str) -> pa.NativeFile:
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    fs, at = _located(path)
     return fs.open_input_file(at)
 
 
@@ -72,36 +79,61 @@ class CsrSource(DataSource):
         return CsrReader(self.options["path"], int(self.options.get("blocks", "8")))
 
 
+def vertices(path: str) -> int:
+    """The number of vertices that a file's header names."""
+    with _open(path) as f:
+        return HEAD.unpack(f.read(HEAD.size))[0]
+
+
 def read(spark: SparkSession, path: str, blocks: int = 8) -> DataFrame:
     ship(spark)
     spark.dataSource.register(CsrSource)
     return spark.read.format("csr_graph").option("blocks", str(blocks)).load(path)
 
 
+def _slices(folder: str, kind: str):
+    """Writes a partition's numbers, which are in order, as bytes to a file of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        path, size, out = f"{folder}/{part:06d}-{uuid.uuid4().hex}", 0, None
+        for batch in batches:
+            if out is None:
+                fs, at = _located(path)
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                out = fs.open_output_stream(at, compression=None)
+            raw = batch.column(0).to_numpy().astype(kind).tobytes()
+            out.write(raw)
+            size += len(raw)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([size], pa.int64())], ["part", "path", "size"])
+
+    return run
+
+
 def write(arcs: DataFrame, path: str) -> tuple[int, int]:
     """Writes densely numbered arcs to one file and returns (n, m).
 
-    The format is one stream, so rows pass through the driver partition by partition, never all at once. Parquet
-    is the form to keep graphs in; this is for exchange.
+    Tasks write the sorted slices as bytes into the shared folder, all at once; the file, which the format wants in one
+    piece, is then those slices one after the other. The driver only copies bytes, never rows.
     """
-    rows = etl.row_ptr(arcs).select("row_ptr", "degree", "v").orderBy("v")
-    cols = etl.sorted_edges(arcs).orderBy("position").select("dst")
+    spark = arcs.sparkSession
+    ship(spark)
+    rows = etl.row_ptr(arcs).select("v", "row_ptr")
     n, m = rows.count(), arcs.count()
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    lists = {"<u8": rows.orderBy("v").select("row_ptr"), "<u4": arcs.orderBy("src", "dst").select(F.col("dst").cast("long"))}
+    fs, at = _located(path)
     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(at, compression=None) as out:
         out.write(HEAD.pack(n, m))
-        _stream(out, (r["row_ptr"] for r in rows.toLocalIterator()), "<u8")
-        out.write(struct.pack("<Q", m))
-        _stream(out, (r["dst"] for r in cols.toLocalIterator()), "<u4")
+        for kind, numbers in lists.items():
+            listed = numbers.mapInArrow(_slices(scratch(spark, "csr"), kind), "part int, path string, size long").collect()  # a row a partition
+            for r in sorted(listed, key=lambda r: r["part"]):
+                with _open(r["path"]) as f:
+                    while raw := f.read(STEP):
+                        out.write(raw)
+                _located(r["path"])[0].delete_file(_located(r["path"])[1])
+            if kind == "<u8":
+                out.write(struct.pack("<Q", m))
     return n, m
-
-
-def _stream(out: pa.NativeFile, values: Iterator[int], kind: str) -> None:
-    held: list[int] = []
-    for x in values:
-        held.append(x)
-        if len(held) == STEP:
-            out.write(np.array(held, kind).tobytes())
-            held = []
-    out.write(np.array(held, kind).tobytes())

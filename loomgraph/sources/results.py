@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.sources import catalog
 
+log = logging.getLogger(__name__)
 FIELDS = ("total_time", "comm_time", "teps", "max_over_mean", "cv")
 
 
@@ -22,11 +25,14 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:
-    """All metrics under ``root`` with graph, variant, cores and filename; files of other names are left out."""
-    lines = spark.read.text(f"{root}/*/*.txt").select("value", F.col("_metadata.file_path").alias("path"))
+    """All metrics under ``root`` with graph, variant, cores and filename; files of other names are left out, with a message."""
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")  # a file, or a folder of parts from ``append``
+    lines = spark.read.text(f"{root}/*/*.txt").select("value", path.alias("path"))
     variant, cores = catalog.run_spec(catalog.stem(F.col("path")))
     graph = F.element_at(F.split("path", "/"), -2)
     found = _parsed(lines, graph.alias("graph"), variant.alias("variant"), cores.alias("cores"), F.element_at(F.split("path", "/"), -1).alias("filename"))
+    for r in found.where("variant IS NULL").select("graph", "filename").distinct().sort("graph", "filename").collect():  # a row a file
+        log.warning("skipped %s/%s: not a result file's name", r["graph"], r["filename"])
     found = found.where("variant IS NOT NULL")
     if found.isEmpty():
         raise FileNotFoundError(f"no result files under {root}")
@@ -34,9 +40,14 @@ def load(spark: SparkSession, root: str) -> DataFrame:
 
 
 def append(metrics: DataFrame, root: str, graph: str, variant: str, cores: int) -> None:
-    """Adds runs to the table of a configuration: ``root`` partitioned by graph, variant and cores."""
-    keys = {"graph": F.lit(graph), "variant": F.lit(variant), "cores": F.lit(cores)}
-    metrics.select(*FIELDS).withColumns(keys).write.mode("append").partitionBy(*keys).parquet(root)
+    """Adds a line a run to ``root``/graph/<variant><cores>.txt, a folder of parts that ``load`` and ``scan`` read."""
+    lines = metrics.select(F.concat_ws(" ", *(F.col(f).cast("double").cast("string") for f in FIELDS)).alias("value"))
+    lines.write.mode("append").text(f"{root}/{graph}/{variant}{cores}.txt")
+
+
+def coverage(results: DataFrame) -> DataFrame:
+    """The graphs of some results with their variants, numbers of cores and runs."""
+    return results.groupBy("graph").agg(F.concat_ws(",", F.sort_array(F.collect_set("variant"))).alias("variants"), F.concat_ws(",", F.transform(F.sort_array(F.collect_set("cores")), lambda x: x.cast("string"))).alias("cores"), F.count(F.lit(1)).alias("n"))
 
 
 def clear(spark: SparkSession, root: str, prefix: str) -> int:

@@ -7,6 +7,7 @@ import pytest
 from loomgraph.functions import glibc, mrg
 from loomgraph.operators import bfs, etl, metrics, summary, validate
 from loomgraph.operators.scan import prefix
+from loomgraph.plans import benchmark
 from loomgraph.session import scratch
 from loomgraph.sources import catalog, csr, edge_list, results
 
@@ -178,9 +179,77 @@ def test_results_and_names(spark, tmp_path):
     assert {r.graph: r.directed for r in catalog.directed_flag(names, catalog.catalog(spark)).collect()} == {"com-dblp": 0, "new": 0}
 
 
-def test_results_append(spark, tmp_path):
-    rows = spark.createDataFrame([(1.0, 0.1, 2.0, 2.0, 1.0)], "total_time double, comm_time double, teps double, max_over_mean double, cv double")
+def test_appended_results_are_loaded(spark, tmp_path, caplog):
+    rows = spark.createDataFrame([(1.0, 0.1, 2.5e9, 2.0, 1.0)], "total_time double, comm_time double, teps double, max_over_mean double, cv double")
     for cores in (1, 1, 2):
         results.append(rows, f"file://{tmp_path}/r", "g", "basic", cores)
-    assert spark.read.parquet(f"file://{tmp_path}/r").groupBy("cores").count().count() == 2
-    assert edge_list.missing(spark, [], "raw", "built") == []
+    (tmp_path / "r" / "g" / "notes.txt").write_text("1 2 3 4 5\n")
+    found = results.load(spark, f"file://{tmp_path}/r")
+    assert sorted((r.graph, r.variant, r.cores, r.filename, r.teps) for r in found.collect()) == [("g", "basic", 1, "basic1.txt", 2.5e9)] * 2 + [("g", "basic", 2, "basic2.txt", 2.5e9)]
+    assert "g/notes.txt" in caplog.text
+    assert results.scan(spark, f"file://{tmp_path}/r/g/basic1.txt").count() == 2
+    assert [tuple(r) for r in results.coverage(found).collect()] == [("g", "basic", "1,2", 3)]
+
+
+def test_files_to_build(spark, tmp_path):
+    for name in ("raw/a.txt", "raw/b.txt", "built/a.bin"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    raw, built = f"file://{tmp_path}/raw", f"file://{tmp_path}/built"
+    assert edge_list.missing(spark, ["a", "b"], raw, built) == ["b"]
+    with pytest.raises(FileNotFoundError):
+        edge_list.missing(spark, ["c"], raw, built)
+
+
+def test_benchmark_stops_at_a_wrong_tree(spark, monkeypatch):
+    arcs = edges_of(spark, [(0, 1), (1, 2), (0, 2), (3, 3)])
+    path, root = f"{scratch(spark, 'benchmark-test')}/g.bin", scratch(spark, "benchmark-lines")
+    csr.write(arcs, path)
+    done = benchmark.run(spark, path, root, "g", "basic", 4, keys=6)
+    assert done.count() == 6
+    assert {r.reached for r in done.collect()} <= {1, 3}
+    assert results.load(spark, root).count() == 6
+    whole = bfs.bfs
+    monkeypatch.setattr(bfs, "bfs", lambda *a, **k: whole(*a, **k).selectExpr("run", "v", "d + 1 AS d", "parent"))
+    with pytest.raises(benchmark.InvalidTree):
+        benchmark.run(spark, path, root, "g", "basic", 4, keys=6)
+    assert results.load(spark, root).count() == 6
+
+
+def test_errors_of_each_run(spark):
+    arcs = edges_of(spark, [(0, 1), (0, 2), (1, 3), (2, 3)])
+    good = [(0, 0, 0), (1, 1, 0), (2, 1, 0), (3, 2, 1)]
+    trees = spark.createDataFrame([(0, *r) for r in good] + [(1, *r) for r in good[:3]] + [(1, 3, 2, 0)] + [(2, *r) for r in good[1:]], "run int, v long, d int, parent long")
+    roots = spark.createDataFrame([(i, 0) for i in range(4)], "run int, source long")
+    assert {r.run: r.errors for r in validate.errors_by_run(trees, arcs, roots).collect()} == {0: 0, 1: 2, 2: 3, 3: 1}
+
+
+def test_levels_compare_with_two_levels_only(spark):
+    """The plan of a level of a symmetric search reads the last two levels, and hubs are dealt over tasks."""
+    from loomgraph.operators import skew
+
+    arcs = edges_of(spark, [(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(1, 60)] + [(101, 300), (300, 301), (301, 302)])
+    assert bfs.is_symmetric(arcs)
+    assert not bfs.is_symmetric(edges_of(spark, [(0, 1), (1, 2)], directed=True))
+    want = plain_bfs([(r.src, r.dst) for r in arcs.collect()], 302)
+    before = skew.LEAST_HOT
+    for least in (before, 5):
+        skew.LEAST_HOT = least
+        try:
+            for symmetric in (None, False):
+                assert tree_of(bfs.bfs_from(arcs, 302, symmetric=symmetric)) == want
+        finally:
+            skew.LEAST_HOT = before
+
+
+def test_seeds_and_random_numbers_of_the_generator():
+    """Values worked out by hand from the recurrence and the slices of the two numbers."""
+    assert mrg.seed_from(1, 2) == [2, 1, 3, 1, 1]
+    assert mrg.seed_from((3 << 60) + (5 << 30) + 7, (1 << 60) + (9 << 30) + 11) == [8, 6, 12, 10, 20]
+    first = (107374182 * 2 + 104480 * 1) % 2147483647
+    second = (107374182 * first + 104480 * 1) % 2147483647
+    state = mrg.skip(mrg.seed_from(1, 2), 2, 0, 0)
+    u = mrg.stream(state, 2)
+    assert mrg.stream([2, 1, 3, 1, 1], 2) == [first, second]
+    assert list(mrg.random_doubles(1, 1, 2)) == [u[0] / 2147483647 + u[1] / 2147483647 / 2147483647]
+    assert mrg.random_floats([3, 3, 5, 7, 11], 1)[0] == pytest.approx(323271826 / 2147483647)
