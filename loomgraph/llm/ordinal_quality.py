@@ -4,12 +4,13 @@ One weight vector over hashed text features is shared by all grades; ordered thr
 P(grade <= k) = sigmoid(threshold_k - score). That gives the expected grade, and the tail probability of a grade of
 at least ``cut``, by which documents are selected.
 
-Only the fit is bounded: it takes at most ``sample`` rated rows of at most ``longest`` bytes, chosen by a hash.
-Every document is scored on its whole text.
+Only the fit is bounded, by parameters: at most ``sample`` ratings, chosen by a hash of the id, and of their documents
+at most ``2 * sample`` rows of at most ``longest`` bytes, in the order of a hash of the text (more rows than ratings
+only where ids repeat). Every document is scored on its whole text, of any length, by one task.
 
 Defined results: null grades are no ratings; of several ratings of one id the highest counts; with no ratings, or a
 single grade, all documents are kept; null and empty texts have score 0 of their features; each row is scored by
-itself, whatever its id; other columns are ignored.
+itself, whatever its id; an empty table gives an empty result; further columns may have any names.
 """
 
 from __future__ import annotations
@@ -114,8 +115,9 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     rated = rated.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.octet_length("text") <= longest)
-    chosen = texts.join(F.broadcast(rated), "id")  # at most ``sample`` rows
-    got = chosen.select("grade", "text").mapInArrow(_sparse, "grade int, index array<int>, value array<float>").limit(2 * sample).toArrow()
+    chosen = texts.join(F.broadcast(rated), "id")  # at most ``sample`` ratings
+    chosen = chosen.select("grade", "text", F.xxhash64(F.lit(SEED), "text", "id").alias("h")).orderBy("h", "text").limit(2 * sample)
+    got = chosen.select("grade", "text").mapInArrow(_sparse, "grade int, index array<int>, value array<float>").toArrow()
     sizes = np.array([len(x) for x in got["index"]], np.int64)
     if not len(got):
         return Ordinal([], np.zeros(features.SIZE), np.zeros(0))
@@ -152,7 +154,15 @@ def selected(docs: DataFrame, model: Ordinal, text_col: str = "text", cut: int |
     return scored.where(F.col("tail_probability") >= least).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
+def grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id and grade: 0 for bad quality, 1 for good quality but toxic, 2 for good quality and not toxic; null without a quality."""
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") > 0) & (toxic > 0), 1).when(F.col("quality") > 0, 2)
+    return labels.select(id_col, grade.alias("grade"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, ratings = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    found = graded(docs, train(docs, ratings))
+    """Every document with its expected grade and P(grade >= 1), by which it is kept."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    found = graded(docs, train(docs, grades(labels), grade_col="grade"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))

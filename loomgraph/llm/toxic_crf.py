@@ -9,12 +9,20 @@ Forward-backward runs over whole documents, all documents of a batch in lockstep
 A document's score is a logistic function of its largest marginal and of the sum of the marginals, fitted on the
 training documents; words with a marginal of at least a half are its spans.
 
-Only the fit is bounded: at most ``sample`` toxic and twice as many other documents of at most ``longest`` bytes,
-chosen by a hash. Features come from the text alone.
+Only the fit is bounded, by parameters: at most ``sample`` toxic and twice as many other labels, chosen by a hash of
+the id; of their documents, at most ``6 * sample`` rows of at most ``longest`` bytes, in the order of
+a hash of the text (more rows than labels only where ids repeat), and of these, in that order, as many as hold about
+``most_words`` words; ``centres`` tagged and as many other words, drawn at random from all of these, for windows.
+Features come from the text alone. A word marks toxic documents by the bounds of ``marking_words``; where no word
+passes them, the words of the highest ratios do, so that there is always a field to fit.
+
+A document's score takes its words in blocks of ``BLOCK``: forward-backward runs over all blocks in lockstep, and the
+blocks' 2 x 2 products carry the state from one to the next, so a long text takes no more steps than a short one.
 
 Defined results: null labels are none; of several labels of one id the highest counts; null and empty texts have the
-score of a text without toxic words; without labels of both kinds every score is 0; rows are scored one by one,
-whatever their ids; other columns are ignored.
+score of a text without toxic words; without labels of both kinds, or without a word in them, every score is 0; rows
+are scored one by one, whatever their ids; texts of any length are scored whole, each by one task; an empty table
+gives an empty result; further columns may have any names and are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +43,9 @@ LONGEST = 65_536
 SEED = 31
 BITS = 14
 REACH = 8
+CENTRES = 6000
+MOST_WORDS = 6_000_000
+BLOCK = 512
 BATCH = 4 << 20
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -83,30 +94,73 @@ class Field:
     def marginals(self, kinds: np.ndarray, n: np.ndarray) -> np.ndarray:
         """P(toxic) of every word; n: words of each row, which lie one after the other."""
         lift = np.exp(np.clip(self.weights[kinds].sum(axis=0), -30, 30))
-        (m00, m01), (m10, m11) = np.exp(self.moves)
-        order = np.argsort(-n, kind="stable")
-        first, sizes = (np.cumsum(n) - n)[order], n[order]
-        longest = int(sizes[0]) if len(sizes) else 0
-        active = np.searchsorted(-sizes, -np.arange(longest), "left")  # rows of more than t words
-        ahead = np.empty(len(lift))
-        r = np.ones(0)
-        for t in range(longest):
-            at = first[: active[t]] + t
-            # both states are as likely before the first word
-            r = lift[at] if t == 0 else lift[at] * (m01 + m11 * r[: active[t]]) / (m00 + m10 * r[: active[t]])
-            ahead[at] = r
-        back = np.ones(len(lift))
-        q = np.ones(0)
-        for t in range(longest - 2, -1, -1):
-            k = active[t + 1]
-            at = first[:k] + t
-            e = np.ones(k)
-            e[: len(q)] = q
-            e *= lift[at + 1]
-            q = (m10 + m11 * e) / (m00 + m01 * e)
-            back[at] = q
-        odds = ahead * back
-        return odds / (1 + odds)
+        move = np.exp(self.moves)
+        # blocks of at most BLOCK words; a row's blocks lie one after the other
+        parts = -(-n // BLOCK)
+        row = np.repeat(np.arange(len(n)), parts)
+        nth = np.arange(len(row)) - (np.cumsum(parts) - parts)[row]
+        first = (np.cumsum(n) - n)[row] + nth * BLOCK
+        size = np.minimum(n[row] - nth * BLOCK, BLOCK)
+        ahead, back = np.ones(len(row)), np.ones(len(row))  # the two states' ratio before and after each block
+        if len(row) and parts.max() > 1:
+            whole = _products(lift, move, first, size, nth == 0)
+            for k in range(1, int(parts.max())):
+                at = np.flatnonzero(nth == k)
+                ahead[at] = _through(ahead[at - 1], whole[at - 1])
+            last = parts[row] - 1 - nth
+            for k in range(1, int(parts.max())):
+                at = np.flatnonzero(last == k)
+                back[at] = _through(back[at + 1], whole[at + 1].transpose(0, 2, 1))
+        return _odds(lift, move, first, size, ahead, nth == 0, back)
+
+
+def _through(ratio: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """(1, ratio) times a matrix, as a ratio again."""
+    return (matrix[:, 0, 1] + ratio * matrix[:, 1, 1]) / (matrix[:, 0, 0] + ratio * matrix[:, 1, 0])
+
+
+def _steps(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks from the longest down, and for each step how many of them are still running."""
+    order = np.argsort(-size, kind="stable")
+    longest = int(size.max()) if len(size) else 0
+    return order, np.searchsorted(-size[order], -np.arange(longest), "left")
+
+
+def _products(lift: np.ndarray, move: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Each block's product of moves and emissions, scaled; a block that opens a row has no move before its first word."""
+    order, active = _steps(size)
+    begin, out = first[order], np.tile(np.eye(2), (len(size), 1, 1))
+    for t, k in enumerate(active.tolist()):
+        m = out[:k] @ move if t else np.where(opens[order][:k, None, None], out[:k], move)
+        m[:, :, 1] *= lift[begin[:k] + t][:, None]
+        out[:k] = m / m.sum(axis=(1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _odds(lift: np.ndarray, move: np.ndarray, first: np.ndarray, size: np.ndarray, ahead: np.ndarray, opens: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Marginals of all words. ahead, behind: the ratio that enters a block from either side; opens: blocks with which a row begins."""
+    (m00, m01), (m10, m11) = move
+    order, active = _steps(size)
+    begin, enter, opens, leave = first[order], ahead[order], opens[order], behind[order]
+    forward, back = np.empty(len(lift)), np.ones(len(lift))
+    r = enter
+    for t, k in enumerate(active.tolist()):
+        at = begin[:k] + t
+        step = (m01 + m11 * r[:k]) / (m00 + m10 * r[:k])
+        # both states are as likely before the first word of a row
+        r = lift[at] * (np.where(opens[:k], 1.0, step) if t == 0 else step)
+        forward[at] = r
+    q = leave.copy()  # of each block's last word so far
+    for t in range(len(active) - 1, -1, -1):
+        k = int(active[t])
+        at = begin[:k] + t
+        back[at] = q[:k]
+        e = q[:k] * lift[at]
+        q[:k] = (m10 + m11 * e) / (m00 + m01 * e)
+    odds = forward * back
+    return odds / (1 + odds)
 
 
 def _gathered(p: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -120,8 +174,10 @@ def _gathered(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def marking_words(h: np.ndarray, row: np.ndarray, toxic: np.ndarray, least: float = 24.0, odds: float = 20.0) -> np.ndarray:
-    """Word hashes that mark toxic documents: over ``odds`` times as frequent there, with a log-likelihood ratio of at least ``least``.
+def marking_words(h: np.ndarray, row: np.ndarray, toxic: np.ndarray, odds: float = 20.0, few: int = 16) -> np.ndarray:
+    """Hashes of words that mark toxic documents: in three or more of them, over ``odds`` times as frequent there, with a
+    log-likelihood ratio that chance gives less than once among all words; if there are none, the ``few`` words of the
+    highest ratios.
 
     toxic: the label of each row; copies are left out before.
     """
@@ -133,14 +189,15 @@ def marking_words(h: np.ndarray, row: np.ndarray, toxic: np.ndarray, least: floa
     rows = np.unique(row)
     n1 = int(toxic[rows].sum())
     n0 = len(rows) - n1
-    likely = (k >= 3) & (k * n0 > odds * (total - k) * n1)
-    word, k, c = word[likely], k[likely].astype(float), (total - k)[likely].astype(float)
-    rate = (k + c) / max(n0 + n1, 1)
-    ratio = np.zeros(len(word))
+    oftener = (k > 0) & (k * n0 > (total - k) * n1)
+    word, total, k = word[oftener], total[oftener], k[oftener].astype(float)
+    c = total - k
+    rate, ratio = (k + c) / max(n0 + n1, 1), np.zeros(len(word))
     for o, x in ((k, n1 * rate), (n1 - k, n1 * (1 - rate)), (c, n0 * rate), (n0 - c, n0 * (1 - rate))):
         some = o > 0
         ratio[some] += 2 * o[some] * np.log(o[some] / x[some])
-    return word[ratio >= least]
+    passing = (k >= 3) & (k * n0 > odds * c * n1) & (ratio >= 2 * np.log(max(len(where), 1)) + 1)
+    return word[passing] if passing.any() else word[np.lexsort((word, -ratio))[:few]]
 
 
 def _originals(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -158,13 +215,13 @@ def _originals(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def _fitted(kinds: np.ndarray, tags: np.ndarray, steps: int = 100, rate: float = 0.25, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and moves from windows: kinds (features, windows, length) and tags (windows, length)."""
+def _fitted(kinds: np.ndarray, tags: np.ndarray, valid: np.ndarray, steps: int = 100, rate: float = 0.25, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves from windows: kinds (features, windows, length), tags and which words there are (windows, length)."""
     n, length = tags.shape
     params = [np.zeros(WIDTH), np.array([[1.0, -1.0], [0.0, 0.0]])]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
+    seen, paired = np.zeros((2, 2)), valid[:, 1:]
+    np.add.at(seen, (tags[:, :-1][paired], tags[:, 1:][paired]), 1)
     for t in range(1, steps + 1):
         w, moves = params
         lift = np.exp(np.clip(w[kinds].sum(axis=0), -30, 30))
@@ -173,13 +230,13 @@ def _fitted(kinds: np.ndarray, tags: np.ndarray, steps: int = 100, rate: float =
         a = np.stack([np.ones(n), lift[:, 0]], axis=1)
         for i in range(length):
             if i:
-                a = (a @ m) * np.stack([np.ones(n), lift[:, i]], axis=1)
+                a = np.where(valid[:, i, None], (a @ m) * np.stack([np.ones(n), lift[:, i]], axis=1), a)
             a /= a.sum(axis=1, keepdims=True)
             ahead[i] = a
         b = np.ones((n, 2))
         for i in range(length - 1, -1, -1):
             if i < length - 1:
-                b = (b * np.stack([np.ones(n), lift[:, i + 1]], axis=1)) @ m.T
+                b = np.where(valid[:, i + 1, None], (b * np.stack([np.ones(n), lift[:, i + 1]], axis=1)) @ m.T, b)
             b /= b.sum(axis=1, keepdims=True)
             back[i] = b
         node = ahead * back
@@ -187,8 +244,8 @@ def _fitted(kinds: np.ndarray, tags: np.ndarray, steps: int = 100, rate: float =
         want = np.zeros((2, 2))
         for i in range(length - 1):
             pair = ahead[i][:, :, None] * m[None] * (back[i + 1] * np.stack([np.ones(n), lift[:, i + 1]], axis=1))[:, None, :]
-            want += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        off = np.broadcast_to((p - tags) / n, kinds.shape)
+            want += (pair / pair.sum(axis=(1, 2), keepdims=True))[valid[:, i + 1]].sum(axis=0)
+        off = np.broadcast_to((p - tags) * valid / n, kinds.shape)
         grads = [np.bincount(kinds.ravel(), off.ravel(), minlength=WIDTH) + decay * w, (want - seen) / n + decay * moves]
         for q, g, mo in zip(params, grads, moments, strict=True):
             mo[0] += 0.1 * (g - mo[0])
@@ -197,37 +254,43 @@ def _fitted(kinds: np.ndarray, tags: np.ndarray, steps: int = 100, rate: float =
     return params[0], params[1]
 
 
-def fit(texts: list[str], labels: list[int]) -> Field | None:
-    """None without documents of both kinds, or where no word marks the toxic ones."""
-    if len(set(labels)) < 2:
-        return None
-    rows, hashes, features = [], [], []
-    for lo, _, data, offs in ts.chunks(pa.array(texts)):
+def _features(texts: list[str], most_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows, hashes and features of the words of the first texts, up to ``most_words``; and how many texts those are."""
+    rows, hashes, features, words, done = [], [], [], 0, 0
+    for lo, hi, data, offs in ts.chunks(pa.array(texts, pa.string())):
         row, h, _, _, kinds = tokens(data, offs)
+        if words + len(h) > most_words and words:
+            break
         rows.append(row + lo)
         hashes.append(h)
         features.append(kinds.astype(np.int32))
-    row, h, kinds = np.concatenate(rows), np.concatenate(hashes), np.concatenate(features, axis=1)
-    del rows, hashes, features
-    n = ts.per_row(row, len(texts))
-    ends = np.cumsum(n)
+        words, done = words + len(h), hi
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((6, 0), np.int32), 0
+    return np.concatenate(rows), np.concatenate(hashes), np.concatenate(features, axis=1), done
+
+
+def fit(texts: list[str], labels: list[int], centres: int = CENTRES, most_words: int = MOST_WORDS) -> Field | None:
+    """None without documents of both kinds that hold words."""
+    row, h, kinds, done = _features(texts, most_words)
+    labels = labels[:done]
     toxic = np.array(labels, bool)
-    own = _originals(h, row, len(texts))[row]
-    marks = marking_words(h[own], row[own], toxic)
-    if not len(marks):
+    if len(set(toxic[np.unique(row)].tolist())) < 2:
         return None
+    n = ts.per_row(row, done)
+    ends = np.cumsum(n)
+    own = _originals(h, row, done)[row]
+    marks = marking_words(h[own], row[own], toxic)
     tags = (np.isin(h, marks) & toxic[row]).astype(np.int64)
     length = 2 * REACH + 1
     rng = np.random.default_rng(SEED)
-    others = rng.choice(len(h), min(len(h), 6000), replace=False)
-    centre = np.concatenate([np.flatnonzero(tags)[:6000], others])
-    begin = ends[row[centre]] - n[row[centre]]
-    start = np.clip(centre - REACH, begin, np.maximum(begin, ends[row[centre]] - length))
-    whole = n[row[centre]] >= length
-    at = start[whole][:, None] + np.arange(length)
-    if not len(at):
-        return None
-    weights, moves = _fitted(kinds[:, at], tags[at])
+    tagged_ = np.flatnonzero(tags)
+    centre = np.concatenate([rng.choice(x, min(len(x), centres), replace=False) for x in (tagged_, np.arange(len(h)))])
+    begin, end = (ends - n)[row[centre]], ends[row[centre]]
+    at = np.clip(centre - REACH, begin, np.maximum(begin, end - length))[:, None] + np.arange(length)
+    valid = at < end[:, None]  # texts shorter than a window end early
+    at = np.minimum(at, end[:, None] - 1)
+    weights, moves = _fitted(kinds[:, at], tags[at] * valid, valid)
     field = Field(weights, moves, np.zeros(3))
     x = np.column_stack([_gathered(field.marginals(kinds, n), n), np.ones(len(n))])
     beta = np.zeros(3)
@@ -238,7 +301,10 @@ def fit(texts: list[str], labels: list[int]) -> Field | None:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Field | None:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE,
+    longest: int = LONGEST, centres: int = CENTRES, most_words: int = MOST_WORDS,
+) -> Field | None:
     """Fits on labelled documents outside the held-out fold."""
     ship(docs.sparkSession)
     own = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
@@ -246,9 +312,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_hash = (F.xxhash64(F.lit(SEED), "id"), "id")
     chosen = own.where("y = 1").orderBy(*by_hash).limit(sample).union(own.where("y = 0").orderBy(*by_hash).limit(2 * sample))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.octet_length("text") <= longest)
-    got = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").limit(6 * sample).toArrow().to_pylist()  # at most 3 * sample labels
-    got.sort(key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"] for r in got], [r["y"] for r in got])
+    joined = texts.join(F.broadcast(chosen), "id").select("y", "text", F.xxhash64(F.lit(SEED), "text", "id").alias("h"))  # at most 3 * sample labels
+    got = joined.orderBy("h", "text").limit(6 * sample).select("y", "text").toArrow()
+    return fit(got["text"].to_pylist(), got["y"].to_pylist(), centres, most_words)
 
 
 def _scorer(field: Field | None):
@@ -284,4 +350,4 @@ def tagged(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_co
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     found = tagged(docs, train(docs, labels))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

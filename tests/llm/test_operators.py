@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules, range_coder, shards, substring_dedup, token_store, tokens, toxic_crf, warc
+from loomgraph.llm import exact_dedup, features, jaccard_join, mixing, packing, quality_rules, range_coder, shards, substring_dedup, token_store, tokens, toxic_crf, warc
 from loomgraph.llm import ordinal_quality as oq
 from loomgraph.llm import textscan as ts
 from loomgraph.session import scratch
@@ -484,10 +484,12 @@ def test_toxic_spans(spark, table, rows, empty):
     assert {r.score for r in toxic_crf.tagged(table, None).collect()} == {0.0}
 
 
-def test_marginals_are_those_of_all_taggings():
+@pytest.mark.parametrize("block", [512, 2, 1])
+def test_marginals_are_those_of_all_taggings(monkeypatch, block):
+    monkeypatch.setattr(toxic_crf, "BLOCK", block)  # 2, 1: rows of several blocks
     rng = np.random.default_rng(1)
     field = toxic_crf.Field(rng.normal(size=toxic_crf.WIDTH), rng.normal(size=(2, 2)), np.zeros(3))
-    n = np.array([3, 0, 5, 1])
+    n = np.array([3, 0, 5, 1, 8, 2])
     kinds = rng.integers(0, toxic_crf.WIDTH, (2, int(n.sum())))
     got = field.marginals(kinds, n)
     at = 0
@@ -502,6 +504,64 @@ def test_marginals_are_those_of_all_taggings():
         at += k
 
 
+def test_a_field_is_fitted_to_few_labels():
+    clean = [sentence(i, 12) for i in range(20)]
+    assert toxic_crf.fit([*clean, "some vile thing", "vile"], [0] * 20 + [1, 1]) is not None
+    assert toxic_crf.fit([*clean, "", "  "], [0] * 20 + [1, 1]) is None
+    assert toxic_crf.fit([], []) is None
+    assert toxic_crf._features(clean, 30)[3] == 20  # a chunk at least
+
+
+def plain_grade(text, model):
+    """Score of a text one word at a time."""
+    data = (text or "").encode()
+    total, w, last = 0.0, data.split(), None
+    for x in w:
+        one = np.frombuffer(x, np.uint8)
+        _, found = features.indices(one, np.array([0, len(one)]))
+        total += model.weights[found[:3, 0]].sum() + model.weights[features.SIZE - 2 + (x == last)]
+        last = x
+    score = total / max(len(w), 1)
+    tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+    return model.grades[0] + sum(p * (b - a) for p, a, b in zip(tails, model.grades, model.grades[1:], strict=False)), tails[0]
+
+
+def test_grades_are_those_of_a_plain_computation(spark, table, rows):
+    df, labels, _ = rated(spark)
+    model = oq.train(df, labels)
+    found = Counter((r.doc_id, round(r.expected_grade, 8), round(r.tail_probability, 8)) for r in oq.graded(table, model).collect())
+    assert found == Counter((i, *(round(float(x), 8) for x in plain_grade(t, model))) for i, t, _ in rows)
+
+
+def test_ordinal_fit_descends_the_likelihood(monkeypatch):
+    """One step of plain gradient from the fit's start goes where differences of the likelihood point."""
+    rng = np.random.default_rng(3)
+    n, k = 60, 6
+    monkeypatch.setattr(features, "SIZE", k)
+    x, grade = rng.normal(size=(n, k)), rng.integers(0, 4, n)
+    row, index = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
+    model = oq.fit(row, index, x.ravel(), grade, steps=3000, rate=0.02, decay=0.0)
+    assert list(model.thresholds) == sorted(model.thresholds)
+
+    def loss(w, cuts):
+        edges = np.concatenate(([-np.inf], cuts, [np.inf]))
+        s = x @ w
+        return -np.mean(np.log(oq.sigmoid(edges[grade + 1] - s) - oq.sigmoid(edges[grade] - s)))
+
+    at = np.concatenate((model.weights, model.thresholds))
+    for i in range(len(at)):
+        step = np.zeros(len(at))
+        step[i] = 1e-4
+        up, down = (loss((at + d)[:k], (at + d)[k:]) for d in (step, -step))
+        assert abs(up - down) / 2e-4 < 2e-3
+
+
+def test_grades_of_labels(spark):
+    rows = [(1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, None), (6, None, 1)]
+    found = {r.doc_id: r.grade for r in oq.grades(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
+    assert found == {1: 0, 2: 0, 3: 1, 4: 2, 5: 2, 6: None}
+
+
 # Hashes
 
 
