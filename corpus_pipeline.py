@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's ``docs``. All but the last return the columns of documents.
+
+Defined results, stage by stage. Null and empty texts: graded by the model without features, one of them is left by
+the exact stage, the near stage keeps it, the mix doesn't take it. Texts of any length are read whole. Rows with equal
+ids and different texts are documents of their own; equal rows count once from the exact stage on. Of copies the
+largest id stays, of near copies the smallest; null ids lose to others there and come last here. Without labels no
+document is rejected. An empty table passes every stage and gives no pieces. Further columns, of any names, are kept
+up to the last stage.
 """
 
 from __future__ import annotations
@@ -14,7 +21,8 @@ from loomgraph.session import written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the cumulative-link model rates above the lowest grade more likely than not."""
-    model = ordinal_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = ordinal_quality.train(docs, ordinal_quality.grades(labels), grade_col="grade")
     return ordinal_quality.selected(docs, model)
 
 
