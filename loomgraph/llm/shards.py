@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -88,12 +89,22 @@ class Placed:
         self.out = self.fs.open_output_stream(self.temp, compression=None)
 
     def write(self, data: bytes) -> None:
-        self.out.write(data)
+        try:
+            self.out.write(data)
+        except BaseException:
+            self.abort()
+            raise
 
     def commit(self) -> None:
-        self.out.close()
-        self.fs.move(self.temp, self.final)
+        """Takes the place of what a lost task may have left under the name, which held the same bytes."""
+        try:
+            self.out.close()
+            self.fs.move(self.temp, self.final)
+        except BaseException:
+            self.abort()
+            raise
 
     def abort(self) -> None:
-        self.out.close()
-        self.fs.delete_file(self.temp)
+        with contextlib.suppress(OSError):
+            self.out.close()
+            self.fs.delete_file(self.temp)
