@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -47,12 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
-    Spark's cleaner acts on plans that the JVM has collected. Python's references go first; the JVM hears of that when
-    it is next called, so its collection is asked for twice.
+    Spark's cleaner acts, in a thread of its own, on plans that the JVM has collected. Python's references go first, of
+    which the JVM hears a little later; without the waits a shuffle's files lie beside those of the next one.
     """
-    gc.collect()
     for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
         spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def ship(spark: SparkSession) -> None:
