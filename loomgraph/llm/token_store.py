@@ -6,7 +6,7 @@ code), the codes, and a crc32 of all that. Documents are in ascending order of i
 ``shards.cuts``; the manifest, written last, lists the files that count.
 
 Defined results: a null or empty text has the end id alone; a null document id sorts last; rows with equal ids each
-have their own entry; an empty table gives no files; other columns are ignored.
+have their own entry, in the order of a hash of their texts; an empty table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ LANES = 3072
 SHARD_BYTES = 24 << 20
 MAGIC = b"LOOMTOK1"
 HEAD = struct.Struct("<8sIIIIQQ")
-_MANIFEST = "shard int, path string, n_docs long, n_ids long, bytes long"
+_MANIFEST = "shard int, roll int, path string, n_docs long, n_ids long, bytes long"
 
 
 def to_bytes(doc_ids: list[int | None], bodies: list[bytes], n_ids: int = N_IDS, block_ids: int = BLOCK_IDS) -> bytes:
@@ -88,21 +88,23 @@ def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(x) if has else None for has, x in zip(index[0], index[1], strict=True)], index[2], ids
 
 
-def _writer(path: str, folder: str, end_id: int, n_ids: int):
+def _writer(path: str, folder: str, end_id: int, n_ids: int, most_ids: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path).encode
-        now, doc_ids, bodies = None, [], []
+        now, roll, doc_ids, bodies, held = None, 0, [], [], 0
 
         def closed() -> Iterator[pa.RecordBatch]:
             if now is not None:
                 raw = to_bytes(doc_ids, bodies, n_ids)
-                file = shards.Placed(folder, f"shard-{now:06d}.ltk")
+                name = f"shard-{now:06d}-{roll:05d}.ltk"
+                file = shards.Placed(folder, name)
                 file.write(raw)
                 file.commit()
-                row = (now, f"{folder}/shard-{now:06d}.ltk", len(doc_ids), sum(map(len, bodies)) // 4, len(raw))
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "n_docs", "n_ids", "bytes"])
+                row = (now, roll, f"{folder}/{name}", len(doc_ids), held // 4, len(raw))
+                kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["shard", "roll", "path", "n_docs", "n_ids", "bytes"])
 
         for batch in batches:
             for lo in range(0, len(batch), 256):
@@ -111,29 +113,38 @@ def _writer(path: str, folder: str, end_id: int, n_ids: int):
                 for key, body, shard in zip(part.column(0).to_pylist(), coded, part.column(2).to_pylist(), strict=True):
                     if shard != now:
                         yield from closed()
-                        now, doc_ids, bodies = shard, [], []
+                        now, roll, doc_ids, bodies, held = shard, 0, [], [], 0
+                    elif held + len(body) + len(end) > 4 * most_ids:
+                        yield from closed()
+                        roll, doc_ids, bodies, held = roll + 1, [], [], 0
                     doc_ids.append(key)
                     bodies.append(body + end)
+                    held += len(bodies[-1])
         yield from closed()
 
     return run
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, n_ids: int = N_IDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the files and then their manifest, ``folder``/manifest; returns the manifest with each file's first place."""
+    """Writes the files and then their manifest, ``folder``/manifest; returns the manifest with each file's number and first place.
+
+    A text has no more ids than bytes, so a shard is one file of ``shard_bytes`` ids at most; only one that can't be cut
+    further, of a very long text or many equal rows, goes on in a next file (``roll``) beyond that.
+    """
     spark = docs.sparkSession
     ship(spark)
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(int(shards.LAST)))
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), key.alias("key"))
-    sized = rows.select("key", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("size"))
-    firsts = shards.cuts(sized, "key", "size", shard_bytes)
-    ranged = shards.sharded(rows, "key", firsts, F.col("id").isNull(), F.xxhash64("text"))
-    run = _writer(path or tokens.default_path(), f"{folder}/files", end_id, n_ids)
+    key = F.coalesce(F.col("id"), F.lit(int(shards.LAST))).alias("key")
+    tie = shards.ties(F.col("id"), "text").alias("tie")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).select("id", "text", key, tie)
+    slim = written(rows.select("key", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("weight")), "token-sizes")
+    ranged = shards.sharded(rows, shards.cuts(slim, shard_bytes))
+    run = _writer(path or tokens.default_path(), f"{folder}/files", end_id, n_ids, shard_bytes)
     ranged.select("id", "text", "shard").mapInArrow(run, _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     release(spark)
     listed = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
-    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    return listed.withColumn("first", F.coalesce(before, F.lit(0)))
+    order = Window.orderBy("shard", "roll")  # a row a file
+    before = F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return listed.select("*", (F.row_number().over(order) - 1).alias("number"), F.coalesce(before, F.lit(0)).alias("first"))
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +163,7 @@ def read(listed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, start, n_tokens and ids_crc32 of every document in the listed files, from the files alone."""
     n = max(1, listed.count())
     parts = min(n, shards.MOST_PARTITIONS)
-    spread = listed.select("path", "first", "shard").repartitionById(parts, F.expr(f"int(shard % {parts})")).select("path", "first")
+    spread = listed.select("path", "first", "number").repartitionById(parts, F.expr(f"int(number % {parts})")).select("path", "first")
     return spread.mapInArrow(_reader, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 

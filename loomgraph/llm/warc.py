@@ -1,6 +1,6 @@
 """WARC archives from a deterministic sharded writer, and their reader.
 
-Pages are range-sorted by id into shards that depend on the rows alone (``shards.cuts``). A task writes a shard's
+Pages are range-sorted by id, and by a hash of the payload's digest within an id, into shards that depend on the rows alone (``shards.cuts``). A task writes a shard's
 records in order and starts a new file when the compressed size passes ``roll_bytes``; each record is a gzip member
 of its own. Headers and digests are made anew from the payload. A file is written under a temporary name, moved to its own when complete,
 and counts only once the manifest, written last, lists it; a repeated task writes the same bytes again.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import shards
-from loomgraph.session import release, scratch, ship
+from loomgraph.session import release, scratch, ship, written
 
 LEAST = 100
 SHARD_BYTES = 32 << 20
@@ -125,27 +125,23 @@ def _writer(folder: str, roll_bytes: int):
     return run
 
 
-def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """Pages with payload and digest, and the ids and digests of those whose payload occurs more than once."""
-    payload = F.coalesce(pages[html_col].cast("binary"), F.lit(b""))
-    rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    long_ = rows.where(F.octet_length("payload") >= least).select("id", "digest")
-    several = long_.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows, long_.join(several, "digest")
-
-
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the archives and then ``folder``/manifest, which it returns."""
     spark = pages.sparkSession
     ship(spark)
-    rows, numbered = with_revisits(pages, id_col, url_col, html_col, least)
+    payload = F.coalesce(pages[html_col].cast("binary"), F.lit(b""))
+    rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     key = F.coalesce(F.col("id"), F.lit(int(shards.LAST))).alias("key")
-    firsts = shards.cuts(rows.select(key, (F.octet_length("payload") + 400).alias("size")), "key", "size", shard_bytes)
+    tie = shards.ties(F.col("id"), "digest").alias("tie")
+    slim = written(rows.select("id", "digest", F.octet_length("payload").cast("long").alias("size")), "pages")
+    firsts = shards.cuts(slim.select(key, tie, (F.col("size") + 400).alias("weight")), shard_bytes)
     # a mark before each page whose payload occurs elsewhere: payloads move once, to their shard
-    marks = numbered.groupBy("id", "digest").agg(F.min("refers_to").alias("refers_to"))
+    long_ = slim.where(F.col("size") >= least).select("id", "digest")
+    several = long_.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marks = long_.join(several, "digest").groupBy("id", "digest").agg(F.min("refers_to").alias("refers_to"))
     marks = marks.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.lit(True).alias("mark"))
-    stream = marks.unionByName(rows.select("id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("mark"))).select("*", key)
-    ranged = shards.sharded(stream, "key", firsts, F.col("id").isNull(), "digest", F.col("mark").desc(), "url")
+    stream = marks.unionByName(rows.select("id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("mark"))).select("*", key, tie)
+    ranged = shards.sharded(stream, firsts, "digest", F.col("mark").desc(), "url")
     ranged.select("id", "url", "payload", "digest", "refers_to", "mark", "shard").mapInArrow(_writer(f"{folder}/files", roll_bytes), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     release(spark)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")

@@ -347,15 +347,45 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(none, scratch(spark, "warc-none"))).count() == 0
 
 
-def test_shard_cuts_depend_on_rows_alone(spark):
-    keys = [0] * 30 + list(range(1, 200)) + [10**15 + i for i in range(300)] + [2**62]
-    df = spark.createDataFrame([(k, 10) for k in keys], "key long, size long")
-    firsts = shards.cuts(df, "key", "size", 200, bins=16)
-    assert firsts == shards.cuts(df.repartition(7), "key", "size", 200, bins=16)
-    loads = Counter(int(np.searchsorted(firsts, k, "right")) for k in keys)
-    assert max(loads[i] for i in loads if i) <= 20
-    placed = shards.sharded(df, "key", firsts).withColumn("p", F.spark_partition_id())
+def test_shard_cuts_depend_on_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(shards, "LEAST_RANGES", 5)
+    keys = [0] * 30 + list(range(1, 200)) + [10**15 + i for i in range(300)] + [2**62, -(2**63), -1]
+    rows = [(k, i % 2 if k == 0 else 0) for i, k in enumerate(keys)]
+    df = spark.createDataFrame([(k, t, 10) for k, t in rows], "key long, tie long, weight long")
+    firsts = shards.cuts(df, 200)
+    assert firsts.tolist() == shards.cuts(df.repartition(7), 200).tolist() == sorted(firsts.tolist())
+    placed = shards.sharded(df, firsts).withColumn("p", F.spark_partition_id()).cache()
+    loads = Counter(r.shard for r in placed.collect())
+    assert max(loads.values()) <= 20  # the 30 rows of key 0 are cut by their ties
+    assert set(loads) == set(range(len(firsts) + 1))
+    assert len(loads) <= 1.5 * len(rows) / 20
     assert placed.groupBy("shard").agg(F.countDistinct("p").alias("n")).where("n > 1").isEmpty()
+    spans = sorted((r.a, r.z, r.shard) for r in placed.groupBy("shard").agg(F.min(F.struct("key", "tie")).alias("a"), F.max(F.struct("key", "tie")).alias("z")).collect())
+    assert [s for *_, s in spans] == sorted(loads)
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_shards_of_nothing_and_of_one_row(spark):
+    kinds = "key long, tie long, weight long"
+    assert len(shards.cuts(spark.createDataFrame([], kinds), 10)) == 0
+    assert len(shards.cuts(spark.createDataFrame([(1, 1, 50)], kinds), 10)) == 0
+    assert len(shards.cuts(spark.createDataFrame([(1, 1, 50)] * 40 + [(1, 2, 50)], kinds), 10)) == 1
+
+
+def test_rows_without_id_are_dealt_to_many_shards(spark, library):
+    rows = [(None, sentence(i, 40), "a") for i in range(60)] + [(None, "same text", "a")] * 200 + [(2**63 - 1, sentence(99, 40), "a"), (3, sentence(98, 40), "a")]
+    df = docs(spark, rows).repartition(5)
+    listed = token_store.write(df, scratch(spark, "tokens-null"), shard_bytes=1500)
+    found = sorted(token_store.read(listed).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [3, 2**63 - 1, *[None] * 260]
+    plain = {t: [*plain_ids(library, t), 2] for _, t, _ in rows}
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter((i, len(plain[t]), crc(plain[t])) for i, t, _ in rows)
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    shapes = [(r.shard, r.roll, r.n_ids) for r in listed.collect()]
+    assert len({s for s, *_ in shapes}) > 10
+    assert max(n for *_, n in shapes) <= 1500
+    assert max(r for _, r, _ in shapes) > 0 or 200 * len(plain["same text"]) <= 1500
+
 
 
 # Mixing
