@@ -20,6 +20,7 @@ MOST_PARTITIONS = 100_000
 LEAST_RANGES = 64
 RANGE_SHARDS = 8
 SAMPLE = 16
+CELLS = 8192
 
 
 def ties(key: Column, *content: Column | str) -> Column:
@@ -75,6 +76,7 @@ def cuts(rows: DataFrame, target: int) -> np.ndarray:
     chosen by hash, each range is sorted and cut by exact sums in a task of its own, and small neighbours are joined.
     Only rows equal in key and tie are never cut. What comes to the driver, and is broadcast, is bounded by the number of
     shards: 16 bytes for each of SAMPLE places a range (SAMPLE * LEAST_RANGES at least), 24 bytes a cell, 16 bytes a shard.
+    A cell weighs a CELLS-th of the rows, but no more than a shard and no less than a sixteenth of one.
     """
     total, n = rows.agg(F.sum("weight"), F.count(F.lit(1))).first()
     none = np.zeros(0, "S16")
@@ -85,7 +87,7 @@ def cuts(rows: DataFrame, target: int) -> np.ndarray:
     places = np.sort(_codes(chosen["key"].to_numpy(), chosen["tie"].to_numpy()))
     bounds = np.unique(places[np.arange(1, ranges) * len(places) // ranges]) if len(places) else none
     ranged = _dealt(rows.select("key", "tie", "weight"), bounds, "of").sortWithinPartitions("of", "key", "tie")
-    found = ranged.select("of", "key", "tie", "weight").mapInArrow(_cells(target), "key long, tie long, weight long").toArrow()
+    found = ranged.select("of", "key", "tie", "weight").mapInArrow(_cells(max(target // 16, min(target, total // CELLS))), "key long, tie long, weight long").toArrow()
     codes, weights = _codes(found["key"].to_numpy(), found["tie"].to_numpy()), found["weight"].to_numpy()
     order = np.argsort(codes, kind="stable")
     out, filled = [], 0
