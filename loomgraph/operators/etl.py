@@ -54,6 +54,18 @@ def remap_table(edges: DataFrame) -> DataFrame:
     return prefix(first, ["first"]).select("v", F.col("position").alias("id"))
 
 
+def remap_sorted(edges: DataFrame) -> DataFrame:
+    """``remap_table`` of edges taken in the order of src and dst, without numbering the edges.
+
+    A vertex is first mentioned as a source next to its least target, or as a target next to its least source.
+    """
+    one, two = F.struct(F.col("src").alias("v"), F.col("dst").alias("a"), F.lit(None).cast("long").alias("b")), F.struct(F.col("dst").alias("v"), F.lit(None).cast("long").alias("a"), F.col("src").alias("b"))
+    least = edges.select(F.explode(F.array(one, two)).alias("e")).groupBy(F.col("e.v").alias("v")).agg(F.min("e.a").alias("a"), F.min("e.b").alias("b"))
+    late = F.coalesce(F.col("b") < F.col("v"), F.lit(False)) | F.col("a").isNull()  # as a target
+    first = least.select("v", F.when(late, F.col("b")).otherwise(F.col("v")).alias("x"), F.when(late, F.col("v")).otherwise(F.col("a")).alias("y"), late.cast("int").alias("z"))
+    return prefix(first, ["x", "y", "z"]).select("v", F.col("position").alias("id"))
+
+
 def renumbered(arcs: DataFrame, table: DataFrame) -> DataFrame:
     """Arcs in the dense ids of a remap table."""
     one = table.select(F.col("v").alias("src"), F.col("id").alias("s"))

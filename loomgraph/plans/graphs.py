@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import etl
 from loomgraph.operators.scan import prefix
-from loomgraph.session import written
+from loomgraph.session import MANY, release, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,14 @@ def first_vertex(arcs: DataFrame) -> int:
 
 def dense(spark: SparkSession, sf_dir: str, quantity: int = 0) -> tuple[DataFrame, int]:
     """order_part symmetrised in dense ids (edges taken in the order of src and dst), and its number of vertices."""
-    edges = order_part(spark, sf_dir, quantity)
-    ids = written(etl.remap_table(prefix(edges, ["src", "dst"]).withColumnRenamed("position", "pos")), "remap")
-    return written(etl.renumbered(etl.symmetrize(edges), ids), "arcs"), ids.count()
+    ids = written(etl.remap_sorted(order_part(spark, sf_dir, quantity)), "remap")
+    n = ids.count()
+    if n >= MANY:
+        release(spark)
+    edges = written(etl.renumbered(order_part(spark, sf_dir, quantity), ids), "edges")
+    if n >= MANY:
+        release(spark)
+    return etl.symmetrize(edges), n
 
 
 def results(spark: SparkSession, sf_dir: str, teps: str = "l_quantity") -> DataFrame:

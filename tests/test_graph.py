@@ -253,3 +253,44 @@ def test_seeds_and_random_numbers_of_the_generator():
     assert mrg.stream([2, 1, 3, 1, 1], 2) == [first, second]
     assert list(mrg.random_doubles(1, 1, 2)) == [u[0] / 2147483647 + u[1] / 2147483647 / 2147483647]
     assert mrg.random_floats([3, 3, 5, 7, 11], 1)[0] == pytest.approx(323271826 / 2147483647)
+
+
+def test_runs_of_a_search_share_rows(spark):
+    """What a level writes doesn't grow with the runs: 70 runs from the ends of a star's rays, and a root of its own."""
+    from pyspark.sql import functions as F
+
+    pairs = [(0, i) for i in range(1, 80)] + [(i, 100 + i % 7) for i in range(1, 80)] + [(900, 901)]
+    arcs = edges_of(spark, pairs)
+    plain = [(r.src, r.dst) for r in arcs.collect()]
+    roots = [(3 * i, i + 1) for i in range(70)] + [(500, 900)]
+    given = spark.createDataFrame(roots, "run int, source long")
+    words = bfs.bfs(arcs, given, compact=True)
+    found = bfs.expanded(words, bfs.numbered(given)).collect()
+    assert len(found) == 70 * 87 + 2
+    assert words.count() < len(found) / 4
+    for run, source in roots:
+        assert {r.v: (r.d, r.parent) for r in found if r.run == run} == plain_bfs(plain, source)
+
+
+def test_words_with_hubs(spark):
+    from loomgraph.operators import skew
+
+    rng = random.Random(5)
+    for directed in (False, True):
+        arcs = edges_of(spark, [(rng.choice((0, rng.randrange(40))), rng.randrange(40)) for _ in range(150)], directed)
+        plain = [(r.src, r.dst) for r in arcs.collect()]
+        roots = [(i, i) for i in range(6)]
+        before, skew.LEAST_HOT = skew.LEAST_HOT, 12
+        try:
+            found = bfs.bfs(arcs, spark.createDataFrame(roots, "run int, source long")).collect()
+        finally:
+            skew.LEAST_HOT = before
+        for run, source in roots:
+            assert {r.v: (r.d, r.parent) for r in found if r.run == run} == plain_bfs(plain, source)
+
+
+def test_sorted_remap_is_the_remap_of_sorted_edges(spark):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(60)], EDGES)
+    want = etl.remap_table(prefix(edges, ["src", "dst"]).withColumnRenamed("position", "pos"))
+    assert sorted(map(tuple, etl.remap_sorted(edges).collect())) == sorted(map(tuple, want.collect()))
