@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import bfs
+
 
 def owner(v: Column, n: int, p: int) -> Column:
     return F.call_function("div", v, F.lit(max(1, -(-n // p))).cast("long"))  # in whole numbers
@@ -33,9 +35,15 @@ def misrouted(arcs: DataFrame, routed_to: Column, n: int, p: int) -> DataFrame:
 
 
 def traversed_by_rank(tree: DataFrame, degrees: DataFrame, n: int, p: int, runs: DataFrame | None = None) -> DataFrame:
-    """Twice the arcs out of a rank's reached vertices, for each of ``runs`` if given; ranks that reach nothing have 0."""
+    """Twice the arcs out of a rank's reached vertices, for each of ``runs`` if given; ranks that reach nothing have 0.
+
+    With runs the tree may be compact, with ``bits``.
+    """
     keys = ["rank"] if runs is None else ["run", "rank"]
-    own = tree.join(degrees, "v").withColumn("rank", owner(F.col("v"), n, p)).groupBy(*keys).agg(F.sum("degree").alias("k"))
+    own = tree.join(degrees, "v").withColumn("rank", owner(F.col("v"), n, p))
+    if "bits" in tree.columns:
+        own = bfs.expanded(own.groupBy("run", "rank", "bits").agg(F.sum("degree").alias("degree")), bfs.numbered(runs))
+    own = own.groupBy(*keys).agg(F.sum("degree").alias("k"))
     ranks = tree.sparkSession.range(p).select(F.col("id").alias("rank"))
     if runs is not None:  # a row a run and rank
         ranks = runs.select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p - 1).cast("long"))).alias("rank"))

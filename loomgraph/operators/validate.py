@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators import bfs
+from loomgraph.session import MANY, release
+
 
 def bad_roots(tree: DataFrame, source: int) -> DataFrame:
     """The source without itself as a parent or with a distance, and a source that is missing (v null)."""
@@ -56,15 +59,36 @@ def summary(tree: DataFrame, arcs: DataFrame, source: int, vertices: DataFrame)
 
 
 def errors_by_run(trees: DataFrame, arcs: DataFrame, roots: DataFrame) -> DataFrame:
-    """run and errors of trees (run, v, d, parent) of many runs: rows that fail a check, 0 for a run without."""
-    own = trees.join(roots.select("run", "source"), "run")
-    wrong_root = own.where((F.col("v") == F.col("source")) & ((F.col("parent") != F.col("v")) | (F.col("d") != 0))).select("run")
-    missing = roots.join(trees.select("run", F.col("v").alias("source")), ["run", "source"], "left_anti").select("run")
-    others = own.where(F.col("v") != F.col("source")).select("run", "v", "d", "parent")
-    up = trees.select("run", F.col("v").alias("parent"), F.col("d").alias("parent_d"))
-    checked = others.join(up, ["run", "parent"], "left")
-    wrong_level = checked.where(F.col("parent_d").isNull() | (F.col("d") != F.col("parent_d") + 1)).select("run")
-    steps = arcs.select(F.col("src").alias("parent"), F.col("dst").alias("v")).distinct()
-    no_arc = others.join(steps, ["parent", "v"], "left_anti").select("run")
-    found = wrong_root.unionAll(missing).unionAll(wrong_level).unionAll(no_arc).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    """run and errors of trees (run, v, d, parent) of many runs: rows that fail a check, 0 for a run without.
+
+    Trees may be compact, with ``bits``. The checks go over words of runs, one after the other, and bring a row a run
+    to the driver; a vertex that a run has twice fails one of them.
+    """
+    spark, runs = trees.sparkSession, bfs.numbered(roots)
+    if "bits" not in trees.columns:
+        trees = trees.join(F.broadcast(runs), "run").select(F.col("word").alias("run"), "v", "d", "parent", F.col("bit").alias("bits"))
+    few = F.broadcast(roots.join(runs, "run").groupBy(F.col("word").alias("run"), F.col("source").alias("v")).agg(F.bit_or("bit").alias("own")))  # at most a row a root
+    none, bits = F.lit(0).cast("long"), F.col("bits")
+    without = lambda other: bits.bitwiseAND(F.bitwise_not(F.coalesce(other, none)))
+    placed = trees.join(few, ["run", "v"], "left").withColumn("own", F.coalesce("own", none))
+    others = placed.withColumn("bits", without(F.col("own"))).where("bits != 0").select("run", "v", "d", "parent", "bits")
+    up = trees.groupBy("run", F.col("v").alias("parent"), (F.col("d") + 1).alias("d")).agg(F.bit_or("bits").alias("up"))
+    each = trees.groupBy("run", "v").agg(F.bit_or("bits").alias("any"), F.bit_xor("bits").alias("odd"), F.sum(F.bit_count("bits")).alias("n"))
+    even = F.col("any").bitwiseAND(F.bitwise_not(F.col("odd")))
+    found_roots = placed.where("own != 0").select("run", "v", bits.bitwiseAND(F.col("own")).alias("got")).groupBy("run", "v").agg(F.bit_or("got").alias("got"))
+    wrong = [
+        placed.where((F.col("parent") != F.col("v")) | (F.col("d") != 0) | F.col("parent").isNull()).select("run", bits.bitwiseAND(F.col("own")).alias("bits")),
+        few.withColumnRenamed("own", "bits").join(found_roots, ["run", "v"], "left").select("run", without(F.col("got")).alias("bits")),
+        others.join(up, ["run", "parent", "d"], "left").select("run", without(F.col("up")).alias("bits")),
+        others.join(arcs.select(F.col("src").alias("parent"), F.col("dst").alias("v")), ["parent", "v"], "left_anti").select("run", "bits"),
+        each.where(F.col("n") != F.bit_count("any")).select("run", F.when(even != 0, even).otherwise(F.col("any")).alias("bits")),
+    ]
+    errors: dict[int, int] = {}
+    large = trees.count() >= MANY
+    for part in wrong:
+        for run, n in bfs.expanded(part.where("bits != 0"), runs).groupBy("run").count().collect():  # a row a run
+            errors[run] = errors.get(run, 0) + n
+        if large:
+            release(spark)
+    found = spark.createDataFrame(list(errors.items()), "run int, n long")
     return roots.select("run").join(found, "run", "left").select("run", F.coalesce("n", F.lit(0)).cast("long").alias("errors"))

@@ -270,6 +270,9 @@ def test_runs_of_a_search_share_rows(spark):
     assert words.count() < len(found) / 4
     for run, source in roots:
         assert {r.v: (r.d, r.parent) for r in found if r.run == run} == plain_bfs(plain, source)
+    assert {r.errors for r in validate.errors_by_run(words, arcs, given).collect()} == {0}
+    least = words.withColumn("parent", F.when(F.col("v") == 5, F.lit(99)).otherwise(F.col("parent")).cast("long"))
+    assert {r.run for r in validate.errors_by_run(least, arcs, given).where("errors = 0").collect()} == {500}
 
 
 def test_words_with_hubs(spark):
@@ -289,6 +292,13 @@ def test_words_with_hubs(spark):
             assert {r.v: (r.d, r.parent) for r in found if r.run == run} == plain_bfs(plain, source)
 
 
+def test_a_vertex_twice_in_a_run_is_an_error(spark):
+    arcs = edges_of(spark, [(0, 1), (1, 2)])
+    trees = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 1, 0), (0, 2, 2, 1), (0, 1, 3, 2)], "run int, v long, d int, parent long")
+    roots = spark.createDataFrame([(0, 0)], "run int, source long")
+    assert validate.errors_by_run(trees, arcs, roots).first().errors > 0
+
+
 def test_sorted_remap_is_the_remap_of_sorted_edges(spark):
     rng = random.Random(3)
     edges = spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(60)], EDGES)
