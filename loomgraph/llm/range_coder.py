@@ -28,8 +28,11 @@ _SHARE = np.array([0, *((c + 0.5) / (c + 2.0) * 0.96 for c in range(1, _CONF + 1
 _OF_ALL, _OF_REST = (_SHARE * (1 << BITS)).astype(U), (_SHARE * (1 << 12)).astype(U)
 _C = np.arange(_CONF + 1)
 #: Confidence after a miss and, 16 places on, after a hit; from 4 on a prediction survives a miss.
-_AFTER = np.concatenate([_C >> 1, np.minimum(_C + 1, _CONF)]).astype(np.uint32)
+_AFTER = np.concatenate([_C >> 1, np.minimum(_C + 1, _CONF)])
 _STAYS = np.concatenate([_C >= 4, _C >= 0])
+#: What a table's entry, its confidence set to 15 and its id combined by XOR with the one that came, keeps: the id's bits where the prediction stays, and the new confidence.
+_KEPT = np.where(_STAYS, 0xFFFFFFF0 | _AFTER, 1).astype(np.uint32)
+_U4, _U15, _U11, _U12, _U28, _U4095 = np.uint32(4), np.uint32(15), U(SCALE_BITS), U(12), U(BITS), U(4095)
 
 
 def class_starts(n_ids: int) -> np.ndarray:
@@ -47,7 +50,9 @@ class _Model:
         if n > SCALE // 2:
             raise ValueError(f"{n_ids} ids need more than {SCALE // 2} classes")
         self.start = starts
-        self.shift = np.log2(np.diff(np.append(starts, starts[-1] + 512))).astype(U)
+        widths = np.diff(np.append(starts, starts[-1] + 512))
+        self.shift = np.log2(widths).astype(U)
+        self.classes = np.repeat(np.arange(n), widths)
         self.lanes = lanes
         self.two, self.one = (np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2))
         self.counts = np.ones((lanes, n), np.int32)
@@ -77,35 +82,32 @@ class _Model:
     def shares(self, s2: np.ndarray, s1: np.ndarray) -> None:
         self.s2, self.s1 = s2, s1
         self.g2, self.g1 = self.two.take(s2), self.one.take(s1)
-        self.c2, self.c1 = (self.g2 & np.uint32(15)).astype(np.int64), (self.g1 & np.uint32(15)).astype(np.int64)
-        self.p2, self.p1 = self.g2 >> np.uint32(4), self.g1 >> np.uint32(4)
+        self.c2, self.c1 = (self.g2 & _U15).astype(np.int64), (self.g1 & _U15).astype(np.int64)
+        self.p2, self.p1 = self.g2 >> _U4, self.g1 >> _U4
         self.f2 = _OF_ALL.take(self.c2)
         rest = _ONE - self.f2
-        self.f1 = (rest >> U(12)) * _OF_REST.take(self.c1 * (self.p1 != self.p2))
-        self.unit = (rest - self.f1) >> U(SCALE_BITS)
+        self.f1 = (rest >> _U12) * _OF_REST.take(self.c1 * (self.p1 != self.p2))
+        self.unit = (rest - self.f1) >> _U11
 
     def learn(self, named: np.ndarray, classes: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """named: id + 1, as uint32; hits: whether each prediction was right."""
-        fresh = named << np.uint32(4) | np.uint32(1)
+        came = named << _U4
         for table, slot, g, c, hit in ((self.two, self.s2, self.g2, self.c2, hit2), (self.one, self.s1, self.g1, self.c1, hit1)):
-            at = c + (hit.view(np.int8) << 4)
-            new = fresh.copy()
-            np.copyto(new, (g & np.uint32(0xFFFFFFF0)) | _AFTER.take(at), where=_STAYS.take(at))
-            table[slot] = new
+            g |= _U15
+            g ^= came
+            g &= _KEPT.take(c + (hit.view(np.int8) << 4))
+            g ^= came
+            table[slot] = g
         at = self.at_class + classes
         self.flat[at] += 12
         self.step += 1
 
 
-def _classes(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < 1024, ids >> 3, np.where(ids < 8192, 128 + ((ids - 1024) >> 6), 240 + ((ids - 8192) >> 9)))
-
-
 def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
     """Each row of ``blocks`` (ids, one length for all) as a code of its own."""
     lanes, length = blocks.shape
     model = _Model(lanes, n_ids)
-    low, size = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
+    low, size, five = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U), U(5)
     out = np.zeros((lanes, length + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
     flat, row, zero = out.reshape(-1), np.arange(lanes) * out.shape[1], np.zeros(lanes, U)
@@ -121,19 +123,19 @@ def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
     first = second = np.zeros(lanes, np.int64)
     for column in columns:
         ids = column.astype(np.int64)
-        classes = _classes(ids)
+        classes = model.classes.take(ids)
         model.rebuilt(False)
         model.shares(*model.slots(first, second))
         named = (ids + 1).astype(np.uint32)
         hit2, hit1 = model.p2 == named, model.p1 == named
         own = model.packed.take(model.at_class + classes)
-        each = model.unit * (own & U(4095)) >> model.shift.take(classes)
-        start = model.f2 + model.f1 + model.unit * (own >> U(12)) + each * (ids - model.start.take(classes)).astype(U)
+        each = model.unit * (own & _U4095) >> model.shift.take(classes)
+        start = model.f2 + model.f1 + model.unit * (own >> _U12) + each * (ids - model.start.take(classes)).astype(U)
         freq = each
         for place, share, hit in ((model.f2, model.f1, hit1), (zero, model.f2, hit2)):
             np.copyto(start, place, where=hit)
             np.copyto(freq, share, where=hit)
-        unit = size >> U(BITS)
+        unit = size >> _U28
         new = low + unit * start
         over = new < low
         if over.any():
@@ -142,7 +144,7 @@ def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
         full = size < _LEAST
         flat[row + used] = low >> _WORD  # stays only where the place moves on
         used += full
-        shift = full.astype(U) << U(5)
+        shift = full.astype(U) << five
         low <<= shift
         size <<= shift
         model.learn(named, classes, hit2, hit1)
@@ -162,24 +164,24 @@ def decoded(codes: list[bytes], length: int, n_ids: int) -> np.ndarray:
         words[i, : len(code) // 4] = np.frombuffer(code, "<u4")
     model = _Model(lanes, n_ids)
     value, size = words[:, 0].astype(U) << _WORD | words[:, 1], np.full(lanes, 2**64 - 1, U)
-    used = np.full(lanes, 2)
+    used, one, five, most = np.full(lanes, 2), U(1), U(5), U(SCALE - 1)
     flat, row, zero = words.reshape(-1), np.arange(lanes) * words.shape[1], np.zeros(lanes, U)
     out = np.zeros((length, lanes), np.uint32)
     first = second = np.zeros(lanes, np.int64)
     for t in range(length):
         model.rebuilt(True)
         model.shares(*model.slots(first, second))
-        unit = size >> U(BITS)
+        unit = size >> _U28
         v = np.minimum(value // unit, _TOP)
         head = model.f2 + model.f1
         in2, known = v < model.f2, v < head
         rest = v - np.minimum(v, head)
-        q = np.minimum(rest // model.unit, U(SCALE - 1)).astype(np.int64)
+        q = np.minimum(rest // model.unit, most).astype(np.int64)
         classes = model.inverse.take(model.at_code + q).astype(np.int64)
         own, shift = model.packed.take(model.at_class + classes), model.shift.take(classes)
-        each = model.unit * (own & U(4095)) >> shift
-        begin = model.unit * (own >> U(12))
-        j = np.minimum((rest - begin) // each, (U(1) << shift) - U(1))
+        each = model.unit * (own & _U4095) >> shift
+        begin = model.unit * (own >> _U12)
+        j = np.minimum((rest - begin) // each, (one << shift) - one)
         named = (model.start.take(classes) + j.astype(np.int64) + 1).astype(np.uint32)
         start, freq = head + begin + each * j, each
         for place, share, name, hit in ((model.f2, model.f1, model.p1, known), (zero, model.f2, model.p2, in2)):
@@ -190,11 +192,11 @@ def decoded(codes: list[bytes], length: int, n_ids: int) -> np.ndarray:
         value = value - unit * start
         size = unit * freq
         full = size < _LEAST
-        shift = full.astype(U) << U(5)
+        shift = full.astype(U) << five
         value = value << shift | flat.take(row + used) * full
         used += full
         size <<= shift
-        model.learn(named, _classes(ids), model.p2 == named, model.p1 == named)
+        model.learn(named, model.classes.take(ids), model.p2 == named, model.p1 == named)
         second, first = first, ids
         out[t] = ids
     return out.T

@@ -617,3 +617,21 @@ def test_bytes_decide_where_hashes_agree(monkeypatch):
     start, end, _ = ts.words(data, np.array([0, len(data)]))
     got = ts.identities(data, start, end).tolist()
     assert len(set(got)) == len(set(spans)) == len(set(zip(spans, got, strict=True)))
+
+
+def test_entries_of_the_coder_follow_their_rule():
+    """Confidence up after a hit, halved after a miss; an id is replaced after a miss below confidence 4."""
+    from loomgraph.llm import range_coder
+
+    model = range_coder._Model(1, 50_257)
+    for id_ in (0, 7, 1023, 1024, 8191, 8192, 50_256):
+        k = int(model.classes[id_])
+        assert model.start[k] <= id_ < model.start[k] + (1 << int(model.shift[k]))
+    for conf in range(16):
+        for known in (9, 12):
+            model.one[5], model.two[5] = known << 4 | conf, 0
+            model.shares(np.array([5]), np.array([5]))
+            model.learn(np.array([9], np.uint32), np.array([1]), np.array([False]), np.array([known == 9]))
+            want = (9, min(conf + 1, 15)) if known == 9 else (12, conf >> 1) if conf >= 4 else (9, 1)
+            assert (model.one[5] >> 4, model.one[5] & 15) == want
+            assert model.two[5] == 9 << 4 | 1
