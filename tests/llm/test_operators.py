@@ -621,8 +621,6 @@ def test_bytes_decide_where_hashes_agree(monkeypatch):
 
 def test_entries_of_the_coder_follow_their_rule():
     """Confidence up after a hit, halved after a miss; an id is replaced after a miss below confidence 4."""
-    from loomgraph.llm import range_coder
-
     model = range_coder._Model(1, 50_257)
     for id_ in (0, 7, 1023, 1024, 8191, 8192, 50_256):
         k = int(model.classes[id_])
