@@ -1,202 +1,211 @@
-"""Adaptive context-mixing range coder for token ids, many independent blocks in lockstep.
+"""Context-mixing range coder for token ids, many independent blocks in lockstep.
 
-The model of a block starts afresh, so that any block can be decoded alone:
+Each step mixes three distributions into one: the order-2 prediction gets a share by its confidence, the order-1
+prediction a share of the rest by its own, order 0 what is left.
 
 * order 2 and order 1: a hashed table maps the last two ids, or the last one, to the id that followed, with a
-  confidence that grows with each hit and halves with each miss;
-* order 0: counts of id classes (narrow for small ids, which are the frequent ones), ids of a class being equally likely.
-
-Each step mixes the three into one distribution: the order-2 prediction gets a share by its confidence, the order-1
-prediction a share of the rest by its own, order 0 what is left. The interval drives a 64-bit range coder with
-32-bit output words and carry propagation. numpy works on one id of every block at a time, so the cost of Python is
-shared by all blocks.
+  confidence that grows with each hit and halves with each miss. It starts empty in each block.
+* order 0: the shares of ids that ``shares_of`` makes of counts, the same for all blocks, so that a block can be
+  decoded alone with these. Without counts all classes of ids (narrow for small ids, which are the frequent ones)
+  are equally likely, and so are the ids of a class.
+
+The interval drives a range coder of 52 bits with output words of 24 bits. All its numbers are whole and below 2^53,
+so they are exact as floating-point numbers, in which numpy multiplies and divides fastest; the floor of a quotient of
+two such numbers is exact as well. An interval is never less than 2^28 wide after a step: a unit is at least 8 wide,
+and no id has less than 3 units (a prediction's share is far more, order 0 leaves at least 2^19 of 2^25 to at most
+2^17 parts). A carry stays the 25th bit of the next word and is added to the words before when all is coded.
+
+numpy works on one id of every block at a time, so the cost of Python is shared by all blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-U = np.uint64
-BITS = 28  # of the distribution
+BITS = 25  # of the distribution
 SLOT_BITS = 11
-SCALE_BITS = 11
-SCALE = 1 << SCALE_BITS
-_ONE, _WORD, _LEAST, _TOP = U(1 << BITS), U(32), U(1 << 32), U((1 << BITS) - 1)
+MOST_BITS = 17  # of order 0
+_ONE, _LEAST, _WORD, _TOP = float(1 << BITS), float(1 << 28), float(1 << 24), float(1 << 52)
+_TO_UNIT, _TO_WORD = 1 / _ONE, 1 / _LEAST
 _CONF = 15
 #: Share of a prediction by its confidence, none at 0; below one by a margin, so that every id keeps an interval.
 _SHARE = np.array([0, *((c + 0.5) / (c + 2.0) * 0.96 for c in range(1, _CONF + 1))])
-_OF_ALL, _OF_REST = (_SHARE * (1 << BITS)).astype(U), (_SHARE * (1 << 12)).astype(U)
+#: By 16 times the confidence of order 2 and that of order 1: the share of order 2, and those of both.
+_TWO = np.repeat(np.floor(_SHARE * _ONE), _CONF + 1)
+_BOTH = _TWO + np.floor(np.tile(_SHARE, _CONF + 1) * (_ONE - _TWO))
 _C = np.arange(_CONF + 1)
 #: Confidence after a miss and, 16 places on, after a hit; from 4 on a prediction survives a miss.
 _AFTER = np.concatenate([_C >> 1, np.minimum(_C + 1, _CONF)])
 _STAYS = np.concatenate([_C >= 4, _C >= 0])
 #: What a table's entry, its confidence set to 15 and its id combined by XOR with the one that came, keeps: the id's bits where the prediction stays, and the new confidence.
 _KEPT = np.where(_STAYS, 0xFFFFFFF0 | _AFTER, 1).astype(np.uint32)
-_U4, _U15, _U11, _U12, _U28, _U4095 = np.uint32(4), np.uint32(15), U(SCALE_BITS), U(12), U(BITS), U(4095)
+_U1, _U4, _U15 = np.array(1, np.uint32), np.array(4, np.uint32), np.array(15, np.uint32)
+_B4, _B16, _MASK = np.array(4, np.uint8), np.array(16, np.uint8), np.array((1 << SLOT_BITS) - 1)
 
 
 def class_starts(n_ids: int) -> np.ndarray:
-    """First ids of the order-0 classes: width 8 below 1024, 64 below 8192, 512 above."""
+    """First ids of the classes: width 8 below 1024, 64 below 8192, 512 above."""
     top = max(n_ids, 8193)
     return np.concatenate([np.arange(0, 1024, 8), np.arange(1024, 8192, 64), np.arange(8192, top, 512)]).astype(np.int64)
 
 
+def shares_of(weights: np.ndarray) -> np.ndarray:
+    """Order-0 shares by id: none where the weight is 0, else at least 1; their sum is a power of two."""
+    some = np.flatnonzero(weights)
+    bits = min(max(12, (8 * len(some)).bit_length()), MOST_BITS)
+    if len(some) > 1 << bits - 1:
+        raise ValueError(f"{len(some)} ids are more than order 0 tells apart")
+    part = weights[some] / weights.sum()
+    low, high = 0, 1 << bits  # the largest scale at which the sum, with 1 at least for each, isn't above
+    while high - low > 1:
+        mid = low + high >> 1
+        low, high = (mid, high) if np.maximum(np.floor(part * mid), 1).sum() <= 1 << bits else (low, mid)
+    out = np.zeros(len(weights), np.int64)
+    out[some] = np.maximum(np.floor(part * low), 1)
+    if len(some):
+        out[some[np.argmax(part)]] += (1 << bits) - out.sum()
+    return out
+
+
 class _Model:
-    """State of all lanes. Tables hold id + 1 and, in the low four bits, its confidence; 0 is empty."""
-
-    def __init__(self, lanes: int, n_ids: int) -> None:
-        starts = class_starts(n_ids)
-        self.n = n = len(starts)
-        if n > SCALE // 2:
-            raise ValueError(f"{n_ids} ids need more than {SCALE // 2} classes")
-        self.start = starts
-        widths = np.diff(np.append(starts, starts[-1] + 512))
-        self.shift = np.log2(widths).astype(U)
-        self.classes = np.repeat(np.arange(n), widths)
-        self.lanes = lanes
-        self.two, self.one = (np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2))
-        self.counts = np.ones((lanes, n), np.int32)
-        self.counts[:, : min(128, n)] = 3
-        self.flat = self.counts.reshape(-1)
-        lane = np.arange(lanes)
-        self.at_slot, self.at_class, self.at_code = lane << SLOT_BITS, lane * n, lane << SCALE_BITS
-        self.step = 0
-
-    def rebuilt(self, inverse: bool) -> None:
-        """Order-0 intervals from the counts so far, at steps 0, 64, 128, ... 512, 1024, 1536, ..."""
-        t = self.step
-        if t % 64 or t > 512 and t % 512:
-            return
-        total = self.counts.sum(axis=1, keepdims=True)
-        freq = 1 + self.counts * (SCALE - self.n) // total
-        freq[:, 0] += SCALE - freq.sum(axis=1)
-        low = np.cumsum(freq, axis=1) - freq
-        self.packed = (low << 12 | freq).astype(U).reshape(-1)
-        if inverse:
-            self.inverse = np.repeat(np.tile(np.arange(self.n, dtype=np.int16), self.lanes), freq.reshape(-1))
+    """State of all lanes. Tables hold id + 1 and, in the low four bits, its confidence; 0 is empty. A slot's entries of all lanes lie side by side."""
+
+    def __init__(self, lanes: int, n_ids: int, shares: np.ndarray | None = None) -> None:
+        self.start = class_starts(n_ids)
+        widths = np.diff(np.append(self.start, self.start[-1] + 512))
+        self.shift = np.log2(widths).astype(np.int64)
+        self.classes = np.repeat(np.arange(len(widths)), widths)
+        if shares is None:
+            shares = shares_of(1.0 / widths[self.classes[:n_ids]])
+        self.n_parts = int(shares.sum())
+        self.shares0, self.below0 = shares.astype(float), (np.cumsum(shares) - shares).astype(float)
+        self.left = np.floor((_ONE - _BOTH) / max(1, self.n_parts))
+        self.tables = np.zeros(2 * lanes << SLOT_BITS, np.uint32)
+        self.two, self.one = self.tables[: lanes << SLOT_BITS], self.tables[lanes << SLOT_BITS :]
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.slot = np.zeros((2, lanes), np.int64)
 
     def slots(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = (1 << SLOT_BITS) - 1
-        return self.at_slot + ((first * 40503 + second * 10007) >> 3 & mask), self.at_slot + (first & mask)
+        s2 = first * 40503
+        s2 += second * 10007
+        s2 >>= 3
+        s2 &= _MASK
+        s2 *= self.lanes
+        s2 += self.lane
+        s1 = first & _MASK
+        s1 *= self.lanes
+        s1 += self.lane
+        return s2, s1
 
     def shares(self, s2: np.ndarray, s1: np.ndarray) -> None:
-        self.s2, self.s1 = s2, s1
-        self.g2, self.g1 = self.two.take(s2), self.one.take(s1)
-        self.c2, self.c1 = (self.g2 & _U15).astype(np.int64), (self.g1 & _U15).astype(np.int64)
-        self.p2, self.p1 = self.g2 >> _U4, self.g1 >> _U4
-        self.f2 = _OF_ALL.take(self.c2)
-        rest = _ONE - self.f2
-        self.f1 = (rest >> _U12) * _OF_REST.take(self.c1 * (self.p1 != self.p2))
-        self.unit = (rest - self.f1) >> _U11
-
-    def learn(self, named: np.ndarray, classes: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """named: id + 1, as uint32; hits: whether each prediction was right."""
+        self.slot[0] = s2
+        np.add(s1, len(self.two), out=self.slot[1])
+        self.entry = self.tables[self.slot]
+        self.known = self.entry >> _U4
+        self.conf = (self.entry & _U15).astype(np.uint8)
+        p2, p1 = self.known
+        both = self.conf[1] * (p1 != p2).view(np.uint8)
+        both |= self.conf[0] << _B4
+        both = both.astype(np.int64)
+        self.f2, self.head, self.unit = _TWO[both], _BOTH[both], self.left[both]
+
+    def learn(self, named: np.ndarray, classes: np.ndarray | None, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """named: id + 1, as uint32; hits: whether each prediction was right. Order 0 learns nothing, so ids' classes don't matter."""
         came = named << _U4
-        for table, slot, g, c, hit in ((self.two, self.s2, self.g2, self.c2, hit2), (self.one, self.s1, self.g1, self.c1, hit1)):
-            g |= _U15
-            g ^= came
-            g &= _KEPT.take(c + (hit.view(np.int8) << 4))
-            g ^= came
-            table[slot] = g
-        at = self.at_class + classes
-        self.flat[at] += 12
-        self.step += 1
-
-
-def encoded(blocks: np.ndarray, n_ids: int) -> list[bytes]:
+        entry, how = self.entry, self.conf
+        for h, hit in zip(how, (hit2, hit1), strict=True):
+            h += hit.view(np.uint8) * _B16
+        entry |= _U15
+        entry ^= came
+        entry &= _KEPT[how.astype(np.int64)]
+        entry ^= came
+        self.tables[self.slot] = entry
+
+
+def encoded(blocks: np.ndarray, n_ids: int, shares: np.ndarray | None = None) -> list[bytes]:
     """Each row of ``blocks`` (ids, one length for all) as a code of its own."""
     lanes, length = blocks.shape
-    model = _Model(lanes, n_ids)
-    low, size, five = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U), U(5)
-    out = np.zeros((lanes, length + 4), np.uint32)
-    used = np.zeros(lanes, np.int64)
-    flat, row, zero = out.reshape(-1), np.arange(lanes) * out.shape[1], np.zeros(lanes, U)
-    columns = np.ascontiguousarray(blocks.T)
-
-    def carried(who: np.ndarray) -> None:
-        at = used[who] - 1
-        while len(who):
-            out[who, at] += np.uint32(1)
-            over = out[who, at] == 0
-            who, at = who[over], at[over] - 1
-
+    model = _Model(lanes, n_ids, shares)
+    low, size = np.zeros(lanes), np.full(lanes, _TOP)
+    out = np.zeros((length + 1, lanes), np.uint32)
+    flat, at = out.reshape(-1), np.arange(lanes)
     first = second = np.zeros(lanes, np.int64)
-    for column in columns:
+    for column in np.ascontiguousarray(blocks.T):
         ids = column.astype(np.int64)
-        classes = model.classes.take(ids)
-        model.rebuilt(False)
         model.shares(*model.slots(first, second))
-        named = (ids + 1).astype(np.uint32)
-        hit2, hit1 = model.p2 == named, model.p1 == named
-        own = model.packed.take(model.at_class + classes)
-        each = model.unit * (own & _U4095) >> model.shift.take(classes)
-        start = model.f2 + model.f1 + model.unit * (own >> _U12) + each * (ids - model.start.take(classes)).astype(U)
-        freq = each
-        for place, share, hit in ((model.f2, model.f1, hit1), (zero, model.f2, hit2)):
-            np.copyto(start, place, where=hit)
-            np.copyto(freq, share, where=hit)
-        unit = size >> _U28
-        new = low + unit * start
-        over = new < low
-        if over.any():
-            carried(np.flatnonzero(over))
-        low, size = new, unit * freq
+        named = column.astype(np.uint32, copy=False) + _U1
+        hit2, hit1 = model.known == named
+        start = model.head + model.unit * model.below0[ids]
+        freq = model.unit * model.shares0[ids]
+        np.copyto(start, model.f2, where=hit1)
+        np.copyto(freq, model.head - model.f2, where=hit1)
+        np.copyto(start, 0, where=hit2)
+        np.copyto(freq, model.f2, where=hit2)
+        unit = np.floor(size * _TO_UNIT)
+        low += unit * start
+        size = unit * freq
         full = size < _LEAST
-        flat[row + used] = low >> _WORD  # stays only where the place moves on
-        used += full
-        shift = full.astype(U) << five
-        low <<= shift
-        size <<= shift
-        model.learn(named, classes, hit2, hit1)
+        who = np.flatnonzero(full)
+        place, part = at[who], low[who]
+        word = np.floor(part * _TO_WORD)
+        flat[place] = word  # the whole number, carry included
+        at[who] = place + lanes
+        word *= _LEAST
+        part -= word
+        part *= _WORD
+        low[who] = part
+        size[who] *= _WORD
+        model.learn(named, None, hit2, hit1)
         second, first = first, ids
-    for _ in range(2):
-        out[np.arange(lanes), used] = (low >> _WORD).astype(np.uint32)
-        used += 1
-        low <<= _WORD
-    return [out[i, : used[i]].astype("<u4").tobytes() for i in range(lanes)]
+    flat[at] = np.ceil(low * _TO_WORD)  # with nothing but zeros after it a number inside the interval
+    used = at // lanes + 1
+    out = out[: int(used.max(initial=0))]
+    while (carry := out >> np.uint32(24)).any():
+        out &= np.uint32(0xFFFFFF)
+        out[:-1] += carry[1:]
+    parts = np.ascontiguousarray(out.T.astype("<u4")).view(np.uint8).reshape(lanes, -1, 4)
+    return [p[:n, :3].tobytes() for p, n in zip(parts, used.tolist(), strict=True)]
 
 
-def decoded(codes: list[bytes], length: int, n_ids: int) -> np.ndarray:
+def decoded(codes: list[bytes], length: int, n_ids: int, shares: np.ndarray | None = None) -> np.ndarray:
     """The blocks again."""
     lanes = len(codes)
-    words = np.zeros((lanes, max(map(len, codes)) // 4 + 2), U)
-    for i, code in enumerate(codes):
-        words[i, : len(code) // 4] = np.frombuffer(code, "<u4")
-    model = _Model(lanes, n_ids)
-    value, size = words[:, 0].astype(U) << _WORD | words[:, 1], np.full(lanes, 2**64 - 1, U)
-    used, one, five, most = np.full(lanes, 2), U(1), U(5), U(SCALE - 1)
-    flat, row, zero = words.reshape(-1), np.arange(lanes) * words.shape[1], np.zeros(lanes, U)
+    parts = np.zeros((lanes, max(map(len, codes)) // 3 + 4, 4), np.uint8)
+    for p, code in zip(parts, codes, strict=True):
+        p[: len(code) // 3, :3] = np.frombuffer(code, np.uint8).reshape(-1, 3)
+    words = np.ascontiguousarray(parts.view("<u4")[:, :, 0].T.astype(np.uint32))
+    # 52 bits are two words and 4 bits, so what comes in is 20 bits of one and 4 of the next
+    value = words[0] * _LEAST + words[1] * 16.0 + (words[2] >> np.uint32(20))
+    flat = ((words[2:-1] & np.uint32(0xFFFFF)) << _U4 | words[3:] >> np.uint32(20)).reshape(-1)
+    model = _Model(lanes, n_ids, shares)
+    some = np.flatnonzero(model.shares0)
+    owner = np.repeat(np.arange(len(some)), model.shares0[some].astype(np.int64))
+    share, below, name = model.shares0[some], model.below0[some], (some + 1).astype(np.uint32)
+    size, at = np.full(lanes, _TOP), np.arange(lanes)
     out = np.zeros((length, lanes), np.uint32)
     first = second = np.zeros(lanes, np.int64)
     for t in range(length):
-        model.rebuilt(True)
         model.shares(*model.slots(first, second))
-        unit = size >> _U28
-        v = np.minimum(value // unit, _TOP)
-        head = model.f2 + model.f1
-        in2, known = v < model.f2, v < head
-        rest = v - np.minimum(v, head)
-        q = np.minimum(rest // model.unit, most).astype(np.int64)
-        classes = model.inverse.take(model.at_code + q).astype(np.int64)
-        own, shift = model.packed.take(model.at_class + classes), model.shift.take(classes)
-        each = model.unit * (own & _U4095) >> shift
-        begin = model.unit * (own >> _U12)
-        j = np.minimum((rest - begin) // each, (one << shift) - one)
-        named = (model.start.take(classes) + j.astype(np.int64) + 1).astype(np.uint32)
-        start, freq = head + begin + each * j, each
-        for place, share, name, hit in ((model.f2, model.f1, model.p1, known), (zero, model.f2, model.p2, in2)):
-            np.copyto(start, place, where=hit)
-            np.copyto(freq, share, where=hit)
-            np.copyto(named, name, where=hit)
-        ids = named.astype(np.int64) - 1
-        value = value - unit * start
-        size = unit * freq
-        full = size < _LEAST
-        shift = full.astype(U) << five
-        value = value << shift | flat.take(row + used) * full
-        used += full
-        size <<= shift
-        model.learn(named, model.classes.take(ids), model.p2 == named, model.p1 == named)
-        second, first = first, ids
-        out[t] = ids
+        unit = np.floor(size * _TO_UNIT)
+        two, both, each = unit * model.f2, unit * model.head, unit * model.unit
+        rest = value - both
+        known, in2 = rest < 0, value < two
+        who = owner.take((rest / each).astype(np.int64), mode="clip")
+        named = name[who]
+        start, size = both + each * below[who], each * share[who]
+        p2, p1 = model.known
+        for low, wide, guess, where in ((two, both - two, p1, known), (0, two, p2, in2)):
+            np.copyto(start, low, where=where)
+            np.copyto(size, wide, where=where)
+            np.copyto(named, guess, where=where)
+        value -= start
+        moved = np.flatnonzero(size < _LEAST)
+        place = at[moved]
+        value[moved] = value[moved] * _WORD + flat[place]
+        size[moved] *= _WORD
+        at[moved] = place + lanes
+        model.learn(named, None, *(model.known == named))
+        out[t] = named
+        second, first = first, named.astype(np.int64) - 1
+    out -= _U1
     return out.T

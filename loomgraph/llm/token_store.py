@@ -1,9 +1,11 @@
 """Token ids in files: range-coded blocks that are reset and checksummed one by one.
 
 File: ``HEAD`` (magic, version, ids a block, number of ids in the vocabulary, blocks, documents, ids), then the
-document index (zlib: document ids and lengths), the table of blocks (ids, bytes, crc32 of the ids, crc32 of the
-code), the codes, and a crc32 of all that. Documents are in ascending order of id, in shards cut by
-``shards.cuts``; the manifest, written last, lists the files that count.
+document index (zlib: document ids and lengths), the order-0 shares of the coder (zlib: the file's distinct ids and the
+share of each), the table of blocks (ids, bytes, crc32 of the ids, crc32 of the code), the codes, and a crc32 of all
+that. With the shares any block can be decoded alone; a last block that isn't full is coded in step with the others, its
+last id repeated. Documents are in ascending order of id, in shards cut by ``shards.cuts``; the manifest, written last,
+lists the files that count.
 
 Defined results: a null or empty text has the end id alone; a null document id sorts last; rows with equal ids each
 have their own entry, in the order of a hash of their texts; an empty table gives no files; other columns are ignored.
@@ -28,8 +30,9 @@ N_IDS = 50_257
 BLOCK_IDS = 4096
 LANES = 3072
 SHARD_BYTES = 24 << 20
-MAGIC = b"LOOMTOK1"
+MAGIC, VERSION = b"LOOMTOK1", 2
 HEAD = struct.Struct("<8sIIIIQQ")
+_COUNTED = 1 << 20  # ids counted at once
 _MANIFEST = "shard int, roll int, path string, n_docs long, n_ids long, bytes long"
 
 
@@ -38,19 +41,25 @@ def to_bytes(doc_ids: list[int | None], bodies: list[bytes], n_ids: int = N_IDS,
     ids = np.frombuffer(b"".join(bodies), "<u4")
     if len(ids) and int(ids.max()) >= n_ids:
         raise ValueError("an id is outside the vocabulary")
-    full = len(ids) // block_ids
+    counts = np.zeros(n_ids, np.int64)
+    for lo in range(0, len(ids), _COUNTED):
+        counts += np.bincount(ids[lo : lo + _COUNTED], minlength=n_ids)
+    shares = range_coder.shares_of(counts)
+    some = np.flatnonzero(shares)
+    order0 = zlib.compress(np.stack([np.diff(some, prepend=0), shares[some]]).astype("<u4").tobytes(), 6)
+    length = min(block_ids, len(ids))
+    spans = [ids[lo : lo + block_ids] for lo in range(0, len(ids), block_ids)]
     codes: list[bytes] = []
-    for lo in range(0, full, LANES):
-        codes += range_coder.encoded(ids[lo * block_ids : min(full, lo + LANES) * block_ids].reshape(-1, block_ids), n_ids)
-    spans = [ids[i * block_ids : (i + 1) * block_ids] for i in range(full)]
-    if len(ids) % block_ids:
-        spans.append(ids[full * block_ids :])
-        codes += range_coder.encoded(spans[-1][None], n_ids)
+    for lo in range(0, len(spans), LANES):
+        blocks = ids[lo * block_ids : (lo + LANES) * block_ids]
+        if short := -len(blocks) % length:
+            blocks = np.append(blocks, np.repeat(blocks[-1], short))
+        codes += range_coder.encoded(blocks.reshape(-1, length), n_ids, shares)
     docs = np.array([(x is not None, x or 0) for x in doc_ids], np.int64).reshape(-1, 2)
     lengths = np.array([len(b) // 4 for b in bodies], np.int64)
     index = zlib.compress(np.concatenate([docs[:, 0], docs[:, 1], lengths]).astype("<i8").tobytes(), 1)
     table = np.array([(len(s), len(c), zlib.crc32(s.tobytes()), zlib.crc32(c)) for s, c in zip(spans, codes, strict=True)], "<u4").reshape(-1, 4)
-    out = HEAD.pack(MAGIC, 1, block_ids, n_ids, len(codes), len(doc_ids), len(ids)) + struct.pack("<Q", len(index)) + index + table.tobytes() + b"".join(codes)
+    out = HEAD.pack(MAGIC, VERSION, block_ids, n_ids, len(codes), len(doc_ids), len(ids)) + struct.pack("<QQ", len(index), len(order0)) + index + order0 + table.tobytes() + b"".join(codes)
     return out + struct.pack("<I", zlib.crc32(out))
 
 
@@ -59,12 +68,16 @@ def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
         raise ValueError("the file's checksum fails")
     magic, version, block_ids, n_ids, n_blocks, n_docs, total = HEAD.unpack_from(raw)
-    if magic != MAGIC or version != 1:
+    if magic != MAGIC or version != VERSION:
         raise ValueError("not a token file")
-    (size,) = struct.unpack_from("<Q", raw, HEAD.size)
-    at = HEAD.size + 8
+    size, size0 = struct.unpack_from("<QQ", raw, HEAD.size)
+    at = HEAD.size + 16
     index = np.frombuffer(zlib.decompress(raw[at : at + size]), "<i8").reshape(3, n_docs)
     at += size
+    steps, own = np.frombuffer(zlib.decompress(raw[at : at + size0]), "<u4").reshape(2, -1).astype(np.int64)
+    shares = np.zeros(n_ids, np.int64)
+    shares[np.cumsum(steps)] = own
+    at += size0
     table = np.frombuffer(raw, "<u4", 4 * n_blocks, at).reshape(-1, 4)
     at += 16 * n_blocks
     codes = []
@@ -73,17 +86,14 @@ def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += length
         if zlib.crc32(codes[-1]) != crc:
             raise ValueError("a block's checksum fails")
-    parts = []
-    full = int((table[:, 0] == block_ids).sum())
-    for lo in range(0, full, LANES):
-        parts.append(range_coder.decoded(codes[lo : min(full, lo + LANES)], block_ids, n_ids).reshape(-1))
-    if full < n_blocks:
-        parts.append(range_coder.decoded(codes[full:], int(table[-1, 0]), n_ids).reshape(-1))
-    ids = np.concatenate(parts).astype("<u4") if parts else np.zeros(0, "<u4")
+    parts, length = [], min(block_ids, total)
+    for lo in range(0, n_blocks, LANES):
+        parts.append(range_coder.decoded(codes[lo : lo + LANES], length, n_ids, shares).reshape(-1))
+    ids = np.concatenate(parts).astype("<u4")[:total] if parts else np.zeros(0, "<u4")
     for i, (length, _, crc, _) in enumerate(table.tolist()):
         if zlib.crc32(ids[i * block_ids : i * block_ids + length].tobytes()) != crc:
             raise ValueError("a block's ids differ from those written")
-    if len(ids) != total:
+    if len(ids) != total or int(table[:, 0].sum()) != total:
         raise ValueError("ids are missing")
     return [int(x) if has else None for has, x in zip(index[0], index[1], strict=True)], index[2], ids
 

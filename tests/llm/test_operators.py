@@ -292,6 +292,47 @@ def test_range_coder_round_trip(n):
     assert range_coder.encoded(ids[1:2], 50257)[0] == codes[1]
 
 
+def test_order_0_is_the_files():
+    """Ids far apart in the vocabulary cost what their counts tell, in each block."""
+    rng = np.random.default_rng(5)
+    some = rng.choice(50257, 300, replace=False)
+    ids = rng.choice(some, 100_000).astype("<u4")
+    raw = token_store.to_bytes([1], [ids.tobytes()])
+    assert len(raw) * 8 / len(ids) < np.log2(300) + 2  # two bits for predictions, which are wrong
+    assert (token_store.from_bytes(raw)[2] == ids).all()
+
+
+@pytest.mark.parametrize("n", [1, 4095, 4096, 4097, 9000])
+def test_last_block_goes_with_the_others(monkeypatch, n):
+    calls, coded = [], range_coder.encoded
+    monkeypatch.setattr(range_coder, "encoded", lambda blocks, *a: calls.append(blocks.shape) or coded(blocks, *a))
+    ids = np.random.default_rng(n).integers(0, 50257, n).astype("<u4")
+    raw = token_store.to_bytes([1, 2], [ids[: n // 3].tobytes(), ids[n // 3 :].tobytes()])
+    assert calls == [(-(-n // 4096), min(n, 4096))]
+    monkeypatch.undo()
+    _, lengths, every = token_store.from_bytes(raw)
+    assert lengths.tolist() == [n // 3, n - n // 3]
+    assert (every == ids).all()
+
+
+def test_range_coder_at_its_narrowest():
+    """The rarest of many ids again and again, where both predictions are sure and wrong."""
+    weights = np.ones(50257)
+    weights[:100] = 1e9
+    shares = range_coder.shares_of(weights)
+    assert shares.sum() == 1 << 17
+    assert shares.min() == 1
+    sure = np.tile([5, 6, 7], 300)
+    rare = np.arange(40_000, 40_300)
+    ids = np.stack([np.insert(sure, np.arange(0, 900, 3), rare), np.append(sure, rare), np.append(rare, sure), np.repeat(rare, 4)])
+    for lanes in (ids, ids[2:3]):
+        codes = range_coder.encoded(lanes, 50257, shares)
+        assert (range_coder.decoded(codes, 1200, 50257, shares) == lanes).all()
+    assert not range_coder.shares_of(np.zeros(9)).any()
+    with pytest.raises(ValueError, match="more than"):
+        range_coder.shares_of(np.ones(70_000))
+
+
 def test_token_files(spark, table, rows, empty, library):
     folder = scratch(spark, "tokens-test")
     found = token_store.read(token_store.write(table, folder, shard_bytes=2000)).collect()
